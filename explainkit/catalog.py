@@ -1,0 +1,13 @@
+"""Registry of the library's own queries and their SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = "leave_last_2"
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
