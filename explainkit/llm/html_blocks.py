@@ -37,7 +37,7 @@ STOP_WORDS = frozenset(
 )
 
 #: Thresholds: link density that is boilerplate, lengths in characters, stop-word densities.
-LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 60, 120, 0.08, 0.2
+LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 60, 80, 0.08, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

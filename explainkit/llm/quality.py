@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from explainkit.llm.common import SLICE
 from explainkit.plans.storage import persist_table
@@ -90,9 +91,7 @@ def with_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
                 rows = list(zip(*map(text_stats, part.column(at).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(r, pa.int64()) for r in rows)], names=[*part.schema.names, *names])
 
-    schema = docs.schema
-    for n in names:
-        schema = schema.add(n, "long")
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
     return docs.mapInArrow(run, schema)
 
 
