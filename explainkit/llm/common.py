@@ -20,6 +20,19 @@ _WHITE = frozenset(WHITE)
 _CHUNK = re.compile(f"(?<=[^{WHITE}])(?= )")
 
 
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python bounded in bytes, so that long texts never meet thousands of others in one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, "67108864").rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, columns: list[str], work: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
     """Apply ``work`` to column lists of a few hundred rows at a time; it returns column lists.
 
@@ -41,7 +54,7 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[list[list]], lis
                 if out and len(out[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import SLICE, Memo, id_and_text, spaced_chunks
+from explainkit.llm.common import SLICE, Memo, id_and_text, spaced_chunks, small_batches
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
@@ -324,7 +324,7 @@ def write_shards(docs: DataFrame, path: str, out: str | None = None, end_id: int
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/shard-{shard:08d}.sst"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
 
     ordered = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
-    return persist_table(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
+    return persist_table(small_batches(ordered).mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -133,19 +133,19 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return id_and_text(docs).join(marks, "doc_id").dropDuplicates(["doc_id"])
 
 
-def _signature(words: set[str]) -> int:
-    """The least word hash: copies and near copies mostly share it."""
+def _signature(words: list[str]) -> int:
+    """The least hash of three neighbouring words: copies and near copies mostly share it."""
     import zlib
 
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
     """Stems and their log-odds. Texts with one signature count once, so copies don't make their words stems."""
 
     def signed(cols: list[list]) -> list[list]:
-        words = [set(_TOKEN.findall((t or "").lower())) for t in cols[1]]
-        return [cols[0], cols[2], [_signature(w) for w in words], [sorted({x[:n] for x in w for n in STEM if len(x) >= n}) for w in words]]
+        words = [_TOKEN.findall((t or "").lower()) for t in cols[1]]
+        return [cols[0], cols[2], [_signature(w) for w in words], [sorted({x[:n] for x in set(w) for n in STEM if len(x) >= n}) for w in words]]
 
     rows = map_rows(sample, ["doc_id", "text", "toxic"], signed, "doc_id long, toxic int, mark long, stems array<string>")
     once = persist_table(rows.groupBy("mark", "toxic").agg(F.min_by("stems", "doc_id").alias("stems")), "stems")

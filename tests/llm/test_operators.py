@@ -369,18 +369,21 @@ def test_suffix_tree_sums_to_one(docs):
     words = suffix_tree.word_table(chunks)
     counted = {bytes(r["word"]): r["c"] for r in words.where("first and c > 0").collect()}
     total = sum(counted.values())
-    tree = suffix_tree.train(chunks, words, total)
+    tree = suffix_tree.train(chunks, words, *suffix_tree.vocabulary_stats(words))
     assert sum(map(len, tree.states)) > 0
-    contexts, nexts = tree.symbols.of([*counted, b"\xff"[:0]])
+    import xxhash
+
+    hashes = np.array([*map(xxhash.xxh64_intdigest, counted), 1], dtype=np.uint64)
+    classes = np.array([*map(suffix_tree._tail_class, counted), 0])
+    contexts, nexts = tree.symbols.of(hashes, classes)
     c = np.array([*counted.values(), 0])
-    nexts[-1] = suffix_tree.RARE
     rng = random.Random(2)
     for _ in range(20):
         before = [rng.randrange(len(counted)) for _ in range(rng.randint(0, 4))]
         scores = []
         for i in range(len(c)):
             seq = [*before, i]
-            scores.append(tree.scores(contexts[seq], nexts[seq], np.array([0]), c[seq])[-1])
+            scores.append(tree.scores(contexts[seq], nexts[seq], np.arange(len(seq)), c[seq])[-1])
         assert (10.0 ** np.array(scores)).sum() == pytest.approx(1, abs=1e-3)
 
 
