@@ -1 +1 @@
-"""Part of explainkit."""
+"""Readers and writers."""

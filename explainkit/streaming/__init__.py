@@ -1 +1 @@
-"""Part of explainkit."""
+"""Structured Streaming: ingestion with extraction, and running counts."""
