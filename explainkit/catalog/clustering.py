@@ -78,7 +78,7 @@ def _(spark, d):
     return v.join(other, "id").select(F.col("id").alias("a"), "b", F.round(vec.cosine(F.col("embedding"), F.col("y")), 6).alias("sim"))
 
 
-@query("l2_normalize", f"WITH {VECTORS_SQL} SELECT id, round(list_sum(list_transform(v, x -> abs(x) / sqrt(list_dot_product(v, v)))), 6) AS l1 FROM vectors")
+@query("l2_normalize", f"WITH {VECTORS_SQL} SELECT id, round(list_sum(list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v)))), 6) AS l1 FROM vectors")
 def _(spark, d):
     unit = vec.l2_normalize(F.col("embedding"))
     return vectors(spark, d).select("id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("l1"))
@@ -224,7 +224,7 @@ def texts(spark, d) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
 
 
-_SHINGLES = "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\\s]+'), x -> x <> '') AS w FROM documents), s AS (SELECT id, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) >= 2)"
+_SHINGLES = "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\\s]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) >= 2)"
 
 
 @query(
@@ -236,11 +236,16 @@ def _(spark, d):
     return lsh.jaccard_pairs(texts(spark, d), 0.9).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def utterances(spark, d) -> DataFrame:
+    turns = read(spark, d, "conversations")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
+
+
 @query("minhash_groups")
 def _(spark, d):
-    return lsh.minhash_groups(texts(spark, d), 0.9, permutations=64)
+    return lsh.minhash_groups(utterances(spark, d), 0.9, permutations=64)
 
 
 @query("greedy_groups")
 def _(spark, d):
-    return lsh.greedy_groups(texts(spark, d), 0.9, "lang", permutations=64)
+    return lsh.greedy_groups(utterances(spark, d), 0.9, "role", permutations=64)

@@ -78,7 +78,7 @@ RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY interaction_id OR
 
 def metric_sql(k: int) -> str:
     return f"""(CASE WHEN count(*) FILTER (rank <= {k}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hit{k}, count(*) FILTER (rank <= {k}) / {k}::DOUBLE AS p{k}, count(*) FILTER (rank <= {k}) / count(*)::DOUBLE AS r{k},
-        coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) / list_sum(list_transform(range(1, least(count(*), {k}) + 1), r -> 1 / log2(r + 1))) AS ndcg{k}"""
+        coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= {k}), 0) / list_sum(list_transform(range(1, least(count(*), {k}) + 1), lambda r: 1 / log2(r + 1))) AS ndcg{k}"""
 
 
 def sample_sql(name: str, paradigm: str, k: int = 10) -> str:
@@ -225,7 +225,7 @@ def _(spark, d):
 def legacy_sql(truth: str, predicted: str, key: str, value: str, k: int) -> str:
     return f"""tr AS (SELECT DISTINCT {key}, {value} FROM ({truth})), pr AS ({predicted}),
         h AS (SELECT t.{key}, count(*) AS h, sum(1 / ln(rank + 1)) AS g FROM pr p JOIN tr t ON p.{key} = t.{key} AND p.{value} = t.{value} WHERE rank <= {k} GROUP BY t.{key}),
-        r AS (SELECT coalesce(g, 0) / list_sum(list_transform(range(1, {k} + 1), i -> 1 / ln(i + 1))) AS ndcg, coalesce(h, 0) / {k}::DOUBLE AS p, coalesce(h, 0) / n::DOUBLE AS r FROM (SELECT {key}, count(*) AS n FROM tr GROUP BY {key}) q LEFT JOIN h ON q.{key} = h.{key})
+        r AS (SELECT coalesce(g, 0) / list_sum(list_transform(range(1, {k} + 1), lambda i: 1 / ln(i + 1))) AS ndcg, coalesce(h, 0) / {k}::DOUBLE AS p, coalesce(h, 0) / n::DOUBLE AS r FROM (SELECT {key}, count(*) AS n FROM tr GROUP BY {key}) q LEFT JOIN h ON q.{key} = h.{key})
         SELECT round(avg(ndcg), 6) AS ndcg, round(avg(p), 6) AS "precision", round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM r"""
 
 

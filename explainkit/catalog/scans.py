@@ -133,7 +133,7 @@ def _(spark, d):
     return files.shard(read(spark, d, "events"), "event_id", 4, 1).select("event_id")
 
 
-@query("shard_range", "SELECT event_id, (event_id // (greatest(1, ceil(ceil((SELECT count(*) FROM events) / 64.0) / 4.0)) * 64))::INTEGER AS shard FROM events")
+@query("shard_range", "SELECT event_id, (event_id // (greatest(1, ceil(ceil((SELECT count(*) FROM events) / 64.0) / 4.0))::BIGINT * 64))::INTEGER AS shard FROM events")
 def _(spark, d):
     e = read(spark, d, "events")
     return files.shard_ranges(e, "event_id", 64, 4, e.count()).select("event_id", "shard")
@@ -152,7 +152,7 @@ def _(spark, d):
     return joined.dropna(subset=["l_partkey"]).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query("id_range_filter", f"{DENSE} SELECT interaction_id, array_to_string(list_distinct_kept, ',') AS ids FROM (SELECT interaction_id, list_filter(statement_ids, x -> x BETWEEN 0 AND 249) AS list_distinct_kept FROM interactions)")
+@query("id_range_filter", f"{DENSE} SELECT interaction_id, array_to_string(list_distinct_kept, ',') AS ids FROM (SELECT interaction_id, list_filter(statement_ids, lambda x: x BETWEEN 0 AND 249) AS list_distinct_kept FROM interactions)")
 def _(spark, d):
     return interactions(spark, d).select("interaction_id", F.array_join(F.filter("statement_ids", lambda x: x.between(0, 249)), ",").alias("ids"))
 
@@ -215,7 +215,7 @@ def _(spark, d):
     return coded.join(ids, "idx").select("interaction_id", "user_id", "idx")
 
 
-_DICT = f"""WITH {REVIEWS_SQL}, pieces AS (SELECT row_id, sentiment, list_filter(list_transform(regexp_split_to_array(review, '[:,?!\\n.]'), x -> trim(x, ' \t\r\n')), x -> x <> '') AS l FROM reviews),
+_DICT = f"""WITH {REVIEWS_SQL}, pieces AS (SELECT row_id, sentiment, list_filter(list_transform(regexp_split_to_array(review, '[:,?!\\n.]'), lambda x: trim(x, ' \t\r\n')), lambda x: x <> '') AS l FROM reviews),
     each AS (SELECT row_id, sentiment, unnest(l) AS statement, generate_subscripts(l, 1) - 1 AS pos FROM pieces),
     firsts AS (SELECT statement, sentiment, min(row_id * 100000 + pos) AS f, count(*) AS frequency FROM each GROUP BY statement, sentiment),
     dict AS (SELECT row_number() OVER (ORDER BY f) - 1 AS statement_id, statement, sentiment, frequency FROM firsts)"""
@@ -272,7 +272,7 @@ def _(spark, d):
 @query("set_except", f"{SPARSE}, {SPLITS_SQL} SELECT item_id FROM splits WHERE split = 'train' EXCEPT SELECT item_id FROM splits WHERE split = 'test'")
 def _(spark, d):
     s = split_table(spark, d)
-    return s.where("split = 'train'").select("item_id").exceptAll(s.where("split = 'test'").select("item_id")).distinct()
+    return s.where("split = 'train'").select("item_id").subtract(s.where("split = 'test'").select("item_id"))
 
 
 @query("axis_union", f"{DENSE} SELECT user_id AS owner, unnest(statement_ids) AS sid FROM interactions UNION SELECT item_id, unnest(statement_ids) FROM interactions")

@@ -83,18 +83,18 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", text.unescape_nfkc(F.col("html")).alias("text"))
 
 
-@query("word_truncate", r"SELECT doc_id, CASE WHEN len(w) > 12 THEN array_to_string(w[1:12], ' ') ELSE text END AS t FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents)")
+@query("word_truncate", r"SELECT doc_id, CASE WHEN len(w) > 12 THEN array_to_string(w[1:12], ' ') ELSE text END AS t FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", text.word_truncate(F.col("text"), 12).alias("t"))
 
 
-@query("k_shingles", r"SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::INTEGER AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), x -> x <> '') AS w FROM documents WHERE lang = 'en')")
+@query("k_shingles", r"SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::INTEGER AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')")
 def _(spark, d):
     docs = read(spark, d, "documents").where("lang = 'en'")
     return docs.select("doc_id", F.size(text.k_shingles(F.col("text"), 3)).alias("n"))
 
 
-_SENTENCES = f"WITH {REVIEWS_SQL}, l AS (SELECT row_id, list_filter(list_transform(regexp_split_to_array(review, '[:,?!\\n.]'), x -> trim(x, ' \t\r\n')), x -> x <> '') AS l FROM reviews), s AS (SELECT row_id, unnest(l) AS exp, generate_subscripts(l, 1) - 1 AS pos FROM l)"
+_SENTENCES = f"WITH {REVIEWS_SQL}, l AS (SELECT row_id, list_filter(list_transform(regexp_split_to_array(review, '[:,?!\\n.]'), lambda x: trim(x, ' \t\r\n')), lambda x: x <> '') AS l FROM reviews), s AS (SELECT row_id, unnest(l) AS exp, generate_subscripts(l, 1) - 1 AS pos FROM l)"
 
 
 @query("sentence_split", f"{_SENTENCES} SELECT row_id, pos::INTEGER AS pos, exp FROM s")
@@ -102,7 +102,7 @@ def _(spark, d):
     return reviews(spark, d).select("row_id", F.posexplode(text.sentences(F.col("review"))).alias("pos", "exp"))
 
 
-@query("sentence_attrs", f"{_SENTENCES}, w AS (SELECT row_id, pos, list_filter(regexp_split_to_array(lower(exp), '\\s+'), x -> x <> '') AS w FROM s) SELECT row_id, pos::INTEGER AS pos, len(w)::INTEGER AS word_num, len(list_filter(w, x -> x IN ({', '.join(repr(w) for w in text.SUBJECT_WORDS)})))::INTEGER AS subj_num FROM w")
+@query("sentence_attrs", f"{_SENTENCES}, w AS (SELECT row_id, pos, list_filter(regexp_split_to_array(lower(exp), '\\s+'), lambda x: x <> '') AS w FROM s) SELECT row_id, pos::INTEGER AS pos, len(w)::INTEGER AS word_num, len(list_filter(w, lambda x: x IN ({', '.join(repr(w) for w in text.SUBJECT_WORDS)})))::INTEGER AS subj_num FROM w")
 def _(spark, d):
     s = reviews(spark, d).select("row_id", F.posexplode(text.sentences(F.col("review"))).alias("pos", "exp"))
     return s.select("row_id", "pos", F.size(text.words(F.lower("exp"))).alias("word_num"), text.subject_count(F.col("exp")).alias("subj_num"))

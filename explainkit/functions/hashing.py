@@ -12,14 +12,15 @@ SHIFTS = (30, 27, 31)
 
 def _times(c: Column, factor: int) -> Column:
     """Product modulo 2^64 by 32-bit halves; wide sums stay inside a decimal(38)."""
-    low, high = c.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32)
+    low, high = c.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(c, 32)
     wide = lambda x: x.cast("decimal(20,0)")
     f_low, f_high = factor & 0xFFFFFFFF, factor >> 32
-    mod = F.lit(2**64).cast("decimal(20,0)")
-    first = wide(low) * F.lit(f_low).cast("decimal(10,0)")
-    cross = ((wide(low) * F.lit(f_high).cast("decimal(10,0)") + wide(high) * F.lit(f_low).cast("decimal(10,0)")) % F.lit(2**32).cast("decimal(10,0)")) * F.lit(2**32).cast("decimal(10,0)")
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    mod = number(2**64)
+    first = wide(low) * F.lit(str(f_low)).cast("decimal(10,0)")
+    cross = ((wide(low) * F.lit(str(f_high)).cast("decimal(10,0)") + wide(high) * F.lit(str(f_low)).cast("decimal(10,0)")) % F.lit(str(2**32)).cast("decimal(10,0)")) * F.lit(str(2**32)).cast("decimal(10,0)")
     total = (first + cross) % mod
-    return F.when(total >= F.lit(2**63).cast("decimal(19,0)"), total - mod).otherwise(total).cast("bigint")
+    return F.when(total >= number(2**63), total - mod).otherwise(total).cast("bigint")
 
 
 def stable_hash64(c: Column, seed: int = 0) -> Column:

@@ -86,6 +86,11 @@ def normalize_statement(c: Column, subject: str = "the product", numbers: str =
     return F.when(enough if only_subject else enough & (s != subject), s)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often a lambda inside refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def words(c: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
@@ -93,17 +98,19 @@ def words(c: Column) -> Column:
 
 def word_truncate(c: Column, n: int) -> Column:
     """The text, or its first ``n`` words joined by spaces if it has more."""
-    w = words(c)
-    return F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")).otherwise(c)
+    return let(words(c), lambda w: F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")).otherwise(c))
 
 
 def k_shingles(c: Column, k: int) -> Column:
     """Distinct ``k``-word shingles in lower case; fewer words: none; ``k`` of 1 or less: the words."""
-    w = words(F.lower(c))
     if k <= 1:
-        return F.array_distinct(w)
-    starts = F.sequence(F.lit(1), F.size(w) - (k - 1))
-    return F.when(F.size(w) >= k, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(words(F.lower(c)))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (k - 1))
+        return F.when(F.size(w) >= k, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(F.lower(c)), cut)
 
 
 def sentences(c: Column) -> Column:

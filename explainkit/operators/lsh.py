@@ -7,13 +7,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from explainkit.functions.text import k_shingles
+from explainkit.functions.text import k_shingles, let
 from explainkit.operators.graph import connected_components
+from explainkit.plans.storage import persist_table
 
 
 def minhash(shingles: DataFrame, permutations: int) -> DataFrame:
     """``(id, sig)``: for each seed the least hash of the shingles; texts without shingles have none."""
-    sig = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda seed: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, seed))))
+    seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
+    sig = let(F.col("shingles"), lambda own: F.transform(seeds, lambda seed: F.array_min(F.transform(own, lambda s: F.xxhash64(s, seed)))))
     return shingles.where(F.size("shingles") > 0).select("id", "shingles", sig.alias("sig"))
 
 
@@ -38,7 +40,7 @@ def lsh_links(texts: DataFrame, threshold: float, k: int = 2, permutations: int
     """
     bands, rows = band_shape(threshold, permutations)
     sets = texts.select("id", F.array_sort(k_shingles(F.col("text"), k)).alias("shingles"))
-    signed = minhash(sets, permutations)
+    signed = persist_table(minhash(sets, permutations), "minhash")  # else each band would hash anew
     keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("bucket")
     dealt = signed.select("id", "shingles", keys)
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("id", "shingles")).alias("h"))
@@ -62,9 +64,9 @@ def greedy_groups(texts: DataFrame, threshold: float, block: str, k: int = 2, pe
     """``(block, group_id, id)``: in ascending order, a text that isn't taken opens a group and takes all
     untaken texts that share a band with it. Sequential inside a block; blocks run side by side."""
     bands, rows = band_shape(threshold, permutations)
-    base = texts.select(F.col("id"), F.col(block), k_shingles(F.col("text"), k).alias("shingles"))
-    sig = F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda seed: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, seed))))
-    signed = base.where(F.size("shingles") > 0).select("id", block, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(sig, b * rows + 1, rows))).alias("buckets"))
+    named = minhash(texts.select("id", k_shingles(F.col("text"), k).alias("shingles")), permutations)
+    sigs = persist_table(named.select("id", "sig").join(texts.select("id", block), "id"), "minhash")
+    signed = sigs.select("id", block, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows))).alias("buckets"))
     kind = dict(texts.dtypes)[block]
 
     def group(pdf):

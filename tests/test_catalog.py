@@ -22,7 +22,7 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    cell = lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else round(float(x), 5) + 0.0 if isinstance(x, float) else int(x) if hasattr(x, "__index__") and not isinstance(x, bool) else str(x)
+    cell = lambda x: None if pd.isna(x) else round(float(x), 5) + 0.0 if isinstance(x, float) else int(x) if hasattr(x, "__index__") and not isinstance(x, bool) else str(x)
     return sorted((tuple(map(cell, row)) for row in df.itertuples(index=False)), key=repr)
 
 
