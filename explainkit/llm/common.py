@@ -16,8 +16,8 @@ MEMO_CHARS = 12_000_000
 
 #: The Unicode White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_WHITE = frozenset(WHITE)
 _CHUNK = re.compile(f"(?<=[^{WHITE}])(?= )")
+_ODD = re.compile(f"[{WHITE}] ")
 
 
 #: Bytes of an Arrow batch on its way to Python.
@@ -78,9 +78,7 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
     The byte-level pattern never joins such a character with the space after it, so the chunks'
     tokens are the text's tokens. Returns the first chunk, and the others without their leading space.
     """
-    parts = text.split(" ")
-    if any(not p or p[-1] in _WHITE for p in parts[:-1]):
-        parts = [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))]
+    parts = text.split(" ") if _ODD.search(text) is None else [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))]
     return parts[0], parts[1:]
 
 

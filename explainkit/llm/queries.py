@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from explainkit.llm import containment, html_blocks, merge_counts, passages, pieces, quality, simhash, sstable, suffix_tree, toxicity
+from explainkit.llm import containment, html_blocks, merge_counts, oracles, passages, pieces, quality, simhash, sstable, suffix_tree, toxicity
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": oracles.QUALITY, "op8_decontamination": oracles.CONTAINMENT}

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import SLICE, Memo, id_and_text, spaced_chunks, small_batches
+from explainkit.llm.common import SLICE, WHITE, Memo, id_and_text, small_batches, spaced_chunks
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
@@ -36,6 +36,8 @@ _INDEX = struct.Struct("<QQQQ")
 BLOCK, RESTART, BITS, PROBES = 256 * 1024, 16, 10, 7
 #: Text bytes that a shard is meant to hold.
 SHARD_BYTES = 24 * 1024 * 1024
+#: Chunks encoded in one text.
+TOGETHER = 4096
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -235,14 +237,31 @@ class _Encoder:
         import re
 
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        # ids whose text starts with a space (its stand-in in byte-level vocabularies)
+        self.leads = np.zeros(1 << (8 * self.width if self.width == 2 else 24), dtype=bool)
+        self.leads[[i for t, i in self.model.get_vocab(False).items() if t.startswith("Ġ")]] = True
         self.marks = {s: self._bytes([self.model.token_to_id(s)]) for s in self.special}
         self.memo = Memo()
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def _learn(self, parts: list[str]) -> None:
+        """Memoise chunks given without their leading space, many of them in one text.
+
+        A token that starts with a space can only begin a chunk, so the ids fall apart at those tokens.
+        """
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            found = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            starts = np.flatnonzero(self.leads[found])
+            if len(starts) != len(some):
+                raise ValueError("the vocabulary joins a space to what stands before it")
+            raw, cuts = found.tobytes(), [*(starts * self.width).tolist(), len(found) * self.width]
+            self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        plans, new = [], {}
+        plans, odd, seen = [], {}, set()
         for text in texts:
             text = text or ""
             runs = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
@@ -251,12 +270,16 @@ class _Encoder:
             for run in plan:
                 if isinstance(run, tuple):
                     if run[0] and ("", run[0]) not in self.memo:
-                        new[("", run[0])] = run[0]
-                    for p in set(run[1]):
-                        if p not in self.memo:
-                            new[p] = " " + p
-        if new:
-            for key, found in zip(new, self.model.encode_batch_fast(list(new.values()), add_special_tokens=False), strict=True):
+                        odd[("", run[0])] = run[0]
+                    seen.update(run[1])
+        new = [p for p in seen if p not in self.memo]
+        # chunks with spaces or an end of white space inside are encoded on their own
+        own = [p for p in new if not p or " " in p or p[-1] in WHITE]
+        odd |= {p: " " + p for p in own}
+        apart = set(own)
+        self._learn([p for p in new if p not in apart])
+        if odd:
+            for key, found in zip(odd, self.model.encode_batch_fast(list(odd.values()), add_special_tokens=False), strict=True):
                 self.memo[key] = self._bytes(found.ids)
         get, out = self.memo.__getitem__, []
         for plan in plans:
@@ -270,7 +293,7 @@ class _Encoder:
                     parts.append(self.marks[run])
             parts.append(self.end)
             out.append(b"".join(parts))
-        self.memo.settle(sum(map(len, new.values())) * 2)
+        self.memo.settle(sum(map(len, new)) + sum(map(len, odd.values())))
         return out
 
 
