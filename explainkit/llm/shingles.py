@@ -21,7 +21,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     try:
         return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
-        new = set(words) - _memo.keys()
+        new = [w for w in set(words) if w not in _memo]
         for w in new:
             _memo[w] = xxhash.xxh64_intdigest(w)
         out = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
