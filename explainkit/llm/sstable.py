@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import SLICE, WHITE, Memo, id_and_text, small_batches, spaced_chunks
+from explainkit.llm.common import WHITE, Memo, id_and_text, small_batches, spaced_chunks
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
@@ -330,9 +330,8 @@ def write_shards(docs: DataFrame, path: str, out: str | None = None, end_id: int
         store.create_dir(base, recursive=True)
         name, attempt, writer, sink = f"{base}/shard-{shard:08d}.sst", f"{base}/.{shard}-{uuid.uuid4().hex}", None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            if batch.num_rows:  # batches are bounded in bytes
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 if writer is None:
                     sink = store.open_output_stream(attempt, compression=None)
                     writer = ShardWriter(sink, coder.width)
