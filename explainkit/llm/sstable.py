@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from explainkit.llm.common import WHITE, Memo, id_and_text, small_batches, space
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
+_ENDS = frozenset(WHITE) | {""}
 _FOOTER = struct.Struct("<QQQQQQB8s")
 _INDEX = struct.Struct("<QQQQ")
 #: Raw bytes after which a data block is closed, entries between restarts, Bloom bits and probes a key.
@@ -261,6 +263,7 @@ class _Encoder:
             self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.memo.touch()
         plans, odd, seen = [], {}, set()
         for text in texts:
             text = text or ""
@@ -272,22 +275,27 @@ class _Encoder:
                     if run[0] and ("", run[0]) not in self.memo:
                         odd[("", run[0])] = run[0]
                     seen.update(run[1])
-        new = [p for p in seen if p not in self.memo]
+        new = list(filterfalse(self.memo.__contains__, seen))
         # chunks with spaces or an end of white space inside are encoded on their own
-        own = [p for p in new if not p or " " in p or p[-1] in WHITE]
+        own = [p for p in new if p[-1:] in _ENDS or " " in p]
         odd |= {p: " " + p for p in own}
         apart = set(own)
-        self._learn([p for p in new if p not in apart])
+        self._learn([p for p in new if p not in apart] if own else new)
         if odd:
             for key, found in zip(odd, self.model.encode_batch_fast(list(odd.values()), add_special_tokens=False), strict=True):
                 self.memo[key] = self._bytes(found.ids)
-        get, out = self.memo.__getitem__, []
+        # the texts' own words in a table that stays in the processor's cache
+        get, out = dict(zip(seen, map(self.memo.__getitem__, seen), strict=True)).__getitem__, []
         for plan in plans:
+            if len(plan) == 1 and isinstance(plan[0], tuple):
+                first, rest = plan[0]
+                out.append(b"".join([self.memo[("", first)] if first else b"", *map(get, rest), self.end]))
+                continue
             parts = []
             for run in plan:
                 if isinstance(run, tuple):
                     if run[0]:
-                        parts.append(get(("", run[0])))
+                        parts.append(self.memo[("", run[0])])
                     parts += map(get, run[1])
                 else:
                     parts.append(self.marks[run])
