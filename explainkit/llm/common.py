@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ MEMO_CHARS = 12_000_000
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _CHUNK = re.compile(f"(?<=[^{WHITE}])(?= )")
 _ODD = re.compile(f"[{WHITE}] ")
+_ODD_ASCII = tuple(w + " " for w in WHITE if w.isascii())
 
 
 #: Bytes of an Arrow batch on its way to Python.
@@ -78,16 +80,30 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
     The byte-level pattern never joins such a character with the space after it, so the chunks'
     tokens are the text's tokens. Returns the first chunk, and the others without their leading space.
     """
-    parts = text.split(" ") if _ODD.search(text) is None else [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))]
+    odd = any(w in text for w in _ODD_ASCII) if text.isascii() else _ODD.search(text)
+    parts = [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))] if odd else text.split(" ")
     return parts[0], parts[1:]
 
 
 class Memo(dict):
-    """A worker's memo, emptied between slices once its keys pass a bound."""
+    """A worker's memo, emptied between slices once its keys pass a bound, or once another operator's memo grows."""
+
+    live: ClassVar[list[Memo]] = []
+    busy: ClassVar[Memo | None] = None
 
     def __init__(self) -> None:
         super().__init__()
         self.chars = 0
+        Memo.live.append(self)
+
+    def touch(self) -> None:
+        """A worker that turns to another operator lets go of what it kept for the last one."""
+        if Memo.busy is not self:
+            for other in Memo.live:
+                if other is not self:
+                    other.clear()
+                    other.chars = 0
+            Memo.busy = self
 
     def settle(self, extra: int) -> None:
         self.chars += extra

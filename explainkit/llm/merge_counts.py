@@ -121,6 +121,7 @@ def count_texts(path: str, texts: list[str | None]) -> list[int]:
     if path not in _state:
         _state[path] = (RankMerger(path), Memo())
     merger, memo = _state[path]
+    memo.touch()
     plans, new = [], {}
     for text in texts:
         text = text or ""

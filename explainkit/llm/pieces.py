@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from explainkit.llm.common import Memo, id_and_text, map_rows
 
 SPACE = "▁"
+#: No token; pair tests kept by a worker, and units it keeps (about 230 bytes each).
+NONE, FITS, UNITS = -1, 400_000, 500_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -58,10 +60,11 @@ class PieceCoder:
         if len(self.byte_id) != 256:
             raise ValueError("a model with byte fallback is needed")
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+        for piece, i in self.ids.items():
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.fits = Memo()
+        self.sizes = [len(p) for p in self.pieces]
+        self.fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain greedy merging, for texts of two pieces at most."""
@@ -77,47 +80,49 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, before: str, piece: str) -> bool:
-        """Whether two neighbouring tokens stay as they are when merged together."""
-        key = (before, piece)
-        known = self.fits.get(key)
-        if known is None:
-            known = self.fits[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-            self.fits.settle(len(before) + len(piece) + 40)
-        return known
+    def compatible(self, before: int, piece: int) -> bool:
+        """Whether two neighbouring tokens stay as they are when merged together.
 
-    def last_tokens(self, unit: str) -> list[str]:
+        Tokens are ids; ``NONE`` stands before a text, and below it are characters outside the pieces.
+        """
+        first = "" if before == NONE else self.pieces[before] if before >= 0 else chr(NONE - 1 - before)
+        second = self.pieces[piece]
+        return self.merged(first + second) == ([first, second] if first else [second])
+
+    def last_tokens(self, unit: str) -> list[int]:
         """The last token of each prefix."""
-        last: list[str | None] = [None] * len(unit)
-        done = -1
+        last, sizes, fits = [NONE] * len(unit), self.sizes, self.fits
         for end, piece in self.automaton.iter(unit):
-            for gap in range(done + 1, end):  # no piece ends here: the character stands alone
-                last[gap] = last[gap] or unit[gap]
-            done = max(done, end - 1)
-            if last[end] is None:
-                start = end - len(piece)
-                if self.compatible(last[start] if start >= 0 else "", piece):
-                    last[end] = piece
-        for gap in range(done + 1, len(unit)):
-            last[gap] = last[gap] or unit[gap]
+            if last[end] != NONE:
+                continue
+            start = end - sizes[piece]
+            before = NONE
+            if start >= 0:
+                before = last[start]
+                if before == NONE:  # no piece ends there: the character stands alone
+                    before = last[start] = NONE - 1 - ord(unit[start])
+            key = before << 20 | piece
+            known = fits.get(key)
+            if known is None:
+                if len(fits) > FITS:
+                    fits.clear()
+                known = fits[key] = self.compatible(before, piece)
+            if known:
+                last[end] = piece
         return last
 
-    def tokens(self, unit: str) -> list[str]:
-        last, out, at = self.last_tokens(unit), [], len(unit) - 1
-        while at >= 0:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
     def unit_ids(self, unit: str) -> list[int]:
-        out: list[int] = []
-        for token in self.tokens(unit):
-            known = self.ids.get(token)
-            if known is not None:
-                out.append(known)
+        """Ids of a unit, recovered from the end of its table."""
+        last, sizes, out, at = self.last_tokens(unit), self.sizes, [], len(unit) - 1
+        while at >= 0:
+            token = last[at]
+            if token >= 0:
+                out.append(token)
+                at -= sizes[token]
             else:
-                out += [self.byte_id[b] for b in token.encode("utf-8", "surrogatepass")]
-        return out
+                out += [self.byte_id[b] for b in reversed(unit[at].encode("utf-8", "surrogatepass"))]
+                at -= 1
+        return out[::-1]
 
     def units(self, text: str) -> list[str]:
         """The text with its leading mark, cut before each run of white space."""
@@ -172,59 +177,85 @@ def _bytes_text(raw: bytes) -> str:
     return "".join(out)
 
 
+class Units(Memo):
+    """A worker's encoded units: ids joined by spaces. Surfaces that differ from the unit's own text are kept apart."""
+
+    def __init__(self, coder: PieceCoder) -> None:
+        super().__init__()
+        self.coder, self.other = coder, {}
+
+    def learn(self, units: set[str]) -> None:
+        """Encode and decode the units that aren't kept yet. A trailing mark is added to its stem's table
+        where the two stay apart, as the prefix table has it."""
+        coder, ids_of, fits = self.coder, self.coder.ids, self.coder.compatible
+        self.touch()
+        if len(self) > UNITS:
+            self.clear()
+            self.other.clear()
+        for unit in units:
+            if unit in self:
+                continue
+            stem, mark = unit[:-1], ids_of.get(unit[-1])
+            known = self.get(stem) if mark is not None and len(stem) > 1 and not unit[-1].isalnum() and unit[-1] != SPACE else None
+            tail = int(known[known.rfind(" ") + 1 :]) if known is not None else 0
+            if known is not None and tail not in coder.byte_of and fits(tail, mark):
+                self[unit] = f"{known} {mark}"
+                ids = [tail, mark]
+                same = coder.surface(ids) == (coder.pieces[tail] + unit[-1]).replace(SPACE, " ") and stem not in self.other
+            else:
+                ids = coder.unit_ids(unit)
+                self[unit] = " ".join(map(str, ids))
+                same = coder.surface(ids) == unit.replace(SPACE, " ")
+            if not same:
+                self.other[unit] = coder.surface([int(x) for x in self[unit].split(" ")])
+
+
 _state: dict[str, tuple] = {}
 
 
-def _coder(path: str) -> tuple[PieceCoder, Memo]:
+def _coder(path: str) -> tuple[PieceCoder, Units]:
     if path not in _state:
-        _state[path] = (PieceCoder(path), Memo())
+        coder = PieceCoder(path)
+        _state[path] = (coder, Units(coder))
     return _state[path]
 
 
-def _known_units(path: str, texts: list[str | None]) -> tuple[PieceCoder, Memo, list[list[str]], int]:
-    """Each text's units, all of them memoised as (ids joined by spaces, their number, their surface)."""
+def _known_units(path: str, texts: list[str | None]) -> tuple[PieceCoder, Units, list[list[str]]]:
+    """Each text's units, all of them kept."""
     coder, memo = _coder(path)
-    lists, added = [], 0
-    for text in texts:
-        units = coder.units(text) if text else []
-        lists.append(units)
-        for unit in set(units):
-            if unit not in memo:
-                ids = coder.unit_ids(unit)
-                memo[unit] = (" ".join(map(str, ids)), len(ids), coder.surface(ids))
-                added += 2 * len(unit) + 20
-    return coder, memo, lists, added
+    lists, seen = [coder.units(t) if t else [] for t in texts], set()
+    for units in lists:
+        seen.update(units)
+    memo.learn(seen)
+    return coder, memo, lists
 
 
 def encode_digests(path: str, texts: list[str | None]) -> list[list]:
     """For each text: number of ids, hash of the ids, hash of the decoded text."""
-    coder, memo, lists, added = _known_units(path, texts)
+    coder, memo, lists = _known_units(path, texts)
     sizes, ids_hash, text_hash, tail = [], [], [], str(coder.end)
     for units in lists:
-        found = [memo[u] for u in units]
-        ids = " ".join([*(f[0] for f in found), tail])
-        decoded = "".join([f[2] for f in found])[1:]
-        sizes.append(sum(f[1] for f in found) + 1)
+        ids = " ".join([*map(memo.__getitem__, units), tail])
+        if memo.other and not memo.other.keys().isdisjoint(units):
+            decoded = "".join([memo.other.get(u) or u.replace(SPACE, " ") for u in units])[1:]
+        else:
+            decoded = "".join(units).replace(SPACE, " ")[1:]
+        sizes.append(ids.count(" ") + 1)
         ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
         text_hash.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-    memo.settle(added)
     return [sizes, ids_hash, text_hash]
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[list[int]]:
     """Ids of each text, with the end id."""
-    coder, memo, lists, added = _known_units(path, texts)
-    out = [[*(int(i) for u in units for i in memo[u][0].split()), coder.end] for units in lists]
-    memo.settle(added)
-    return out
+    coder, memo, lists = _known_units(path, texts)
+    return [[*(int(i) for u in units for i in memo[u].split()), coder.end] for units in lists]
 
 
 def count_texts(path: str, texts: list[str | None]) -> list[int]:
     """Number of ids of each text, without an end id."""
-    _, memo, lists, added = _known_units(path, texts)
-    out = [sum(memo[u][1] for u in units) for units in lists]
-    memo.settle(added)
-    return out
+    _, memo, lists = _known_units(path, texts)
+    return [sum(memo[u].count(" ") + 1 for u in units) for units in lists]
 
 
 def piece_ids(docs: DataFrame, path: str) -> DataFrame:

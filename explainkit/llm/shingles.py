@@ -18,6 +18,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     words = ascii_words(text)
+    _memo.touch()
     try:
         return np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
