@@ -19,7 +19,6 @@ MEMO_CHARS = 12_000_000
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _CHUNK = re.compile(f"(?<=[^{WHITE}])(?= )")
 _ODD = re.compile(f"[{WHITE}] ")
-_ODD_ASCII = tuple(w + " " for w in WHITE if w.isascii())
 
 
 #: Bytes of an Arrow batch on its way to Python.
@@ -80,8 +79,7 @@ def spaced_chunks(text: str) -> tuple[str, list[str]]:
     The byte-level pattern never joins such a character with the space after it, so the chunks'
     tokens are the text's tokens. Returns the first chunk, and the others without their leading space.
     """
-    odd = any(w in text for w in _ODD_ASCII) if text.isascii() else _ODD.search(text)
-    parts = [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))] if odd else text.split(" ")
+    parts = [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))] if _ODD.search(text) else text.split(" ")
     return parts[0], parts[1:]
 
 

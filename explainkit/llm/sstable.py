@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -263,45 +263,43 @@ class _Encoder:
             self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text with the end id, as bytes. Chunks are looked up once; those that aren't kept are learned and filled in."""
         self.memo.touch()
-        plans, odd, seen = [], {}, set()
+        memo, get = self.memo, self.memo.get
+        plans, odd, missing = [], {}, set()
         for text in texts:
             text = text or ""
             runs = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            plan = [r if i % 2 else spaced_chunks(r) for i, r in enumerate(runs) if r]
+            plan = []
+            for i, run in enumerate(runs):
+                if i % 2:
+                    plan.append((None, None, [self.marks[run]]))
+                elif run:
+                    first, rest = spaced_chunks(run)
+                    found = list(map(get, rest))
+                    if None in found:
+                        missing.update(compress(rest, [v is None for v in found]))
+                    if first and ("", first) not in memo:
+                        odd[("", first)] = first
+                    plan.append((first, rest, found))
             plans.append(plan)
-            for run in plan:
-                if isinstance(run, tuple):
-                    if run[0] and ("", run[0]) not in self.memo:
-                        odd[("", run[0])] = run[0]
-                    seen.update(run[1])
-        new = list(filterfalse(self.memo.__contains__, seen))
         # chunks with spaces or an end of white space inside are encoded on their own
-        own = [p for p in new if p[-1:] in _ENDS or " " in p]
+        own = {p for p in missing if p[-1:] in _ENDS or " " in p}
         odd |= {p: " " + p for p in own}
-        apart = set(own)
-        self._learn([p for p in new if p not in apart] if own else new)
+        self._learn([p for p in missing if p not in own])
         if odd:
             for key, found in zip(odd, self.model.encode_batch_fast(list(odd.values()), add_special_tokens=False), strict=True):
-                self.memo[key] = self._bytes(found.ids)
-        # the texts' own words in a table that stays in the processor's cache
-        get, out = dict(zip(seen, map(self.memo.__getitem__, seen), strict=True)).__getitem__, []
+                memo[key] = self._bytes(found.ids)
+        out = []
         for plan in plans:
-            if len(plan) == 1 and isinstance(plan[0], tuple):
-                first, rest = plan[0]
-                out.append(b"".join([self.memo[("", first)] if first else b"", *map(get, rest), self.end]))
-                continue
             parts = []
-            for run in plan:
-                if isinstance(run, tuple):
-                    if run[0]:
-                        parts.append(self.memo[("", run[0])])
-                    parts += map(get, run[1])
-                else:
-                    parts.append(self.marks[run])
+            for first, rest, found in plan:
+                if first:
+                    parts.append(memo[("", first)])
+                parts += [v or memo[p] for v, p in zip(found, rest, strict=True)] if None in found else found
             parts.append(self.end)
             out.append(b"".join(parts))
-        self.memo.settle(sum(map(len, new)) + sum(map(len, odd.values())))
+        memo.settle(sum(map(len, missing)) + sum(map(len, odd.values())))
         return out
 
 
