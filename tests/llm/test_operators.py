@@ -281,6 +281,17 @@ def test_passages(spark, docs, rows, empty, repeated):
     assert passages.remove_repeats(repeated).count() == 3
 
 
+def test_passages_meet_a_holder_of_the_whole(spark):
+    """Parts of a passage occur in earlier documents, before and between those that hold it whole."""
+    rng = random.Random(7)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p = new(60)
+    held = {1: p[:30], 2: p[30:], 5: p, 6: p[:40], 7: p[20:], 9: p}
+    rows = [(d, " ".join(new(80) + x + new(80))) for d, x in held.items()]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(r["doc_id"] == 9 and r["owner_id"] == 5 and r["end_word"] - r["start_word"] >= 60 for r in found)
+
+
 def test_chains_follow_both_orders():
     assert passages.chains([0, 10, 20, 5], [100, 110, 120, 50])[0] == [0, 1, 2]
     assert len(passages.chains([0, 500], [0, 500])) == 2
