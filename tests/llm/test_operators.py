@@ -292,6 +292,21 @@ def test_passages_meet_a_holder_of_the_whole(spark):
     assert any(r["doc_id"] == 9 and r["owner_id"] == 5 and r["end_word"] - r["start_word"] >= 60 for r in found)
 
 
+def test_passages_of_the_least_identity(spark):
+    """Pieces of 60 words, every fifth of them another word at random places."""
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for d in range(40):
+        p = new(60)
+        q = list(p)
+        for i in rng.sample(range(60), 12):
+            q[i] = new(1)[0]
+        rows += [(d, " ".join(new(80) + p + new(80))), (100 + d, " ".join(new(80) + q + new(80)))]
+    found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) >= 38 and min(found) >= 100
+
+
 def test_chains_follow_both_orders():
     assert passages.chains([0, 10, 20, 5], [100, 110, 120, 50])[0] == [0, 1, 2]
     assert len(passages.chains([0, 500], [0, 500])) == 2
