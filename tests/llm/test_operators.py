@@ -307,6 +307,13 @@ def test_passages_of_the_least_identity(spark):
     assert len(found) >= 38 and min(found) >= 100
 
 
+def test_chains_extend_the_nearest():
+    first, second = list(range(0, 300, 6)), list(range(400, 456, 6))
+    matches = first + second
+    assert [len(c) for c in passages.chains(matches, matches)] == [50, 10]
+    assert passages.chain_spans(matches, matches) == [(0, 299, 0, 299), (400, 459, 400, 459)]
+
+
 def test_chains_follow_both_orders():
     assert passages.chains([0, 10, 20, 5], [100, 110, 120, 50])[0] == [0, 1, 2]
     assert len(passages.chains([0, 500], [0, 500])) == 2
