@@ -243,9 +243,9 @@ def utterances(spark, d) -> DataFrame:
 
 @query("minhash_groups")
 def _(spark, d):
-    return lsh.minhash_groups(utterances(spark, d), 0.9, permutations=64)
+    return lsh.minhash_groups(utterances(spark, d), 0.9)
 
 
 @query("greedy_groups")
 def _(spark, d):
-    return lsh.greedy_groups(utterances(spark, d), 0.9, "role", permutations=64)
+    return lsh.greedy_groups(utterances(spark, d), 0.9, "role")

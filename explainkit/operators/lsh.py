@@ -32,27 +32,25 @@ def band_shape(threshold: float, permutations: int) -> tuple[int, int]:
     return min(((b, permutations // b) for b in range(1, permutations + 1) if permutations // b), key=lambda s: miss(*s))
 
 
-def lsh_links(texts: DataFrame, threshold: float, k: int = 2, permutations: int = 128) -> DataFrame:
-    """``(src, dst)`` between texts that share a band and whose shingle sets reach ``threshold``.
+def set_links(texts: DataFrame, threshold: float, k: int = 2) -> DataFrame:
+    """``(src, dst)``: links between texts whose shingle sets reach ``threshold``; none of them is missed.
 
-    Within a bucket every text is compared with its smallest id only, and equal shingle sets are one
-    node, so a hot bucket costs one row a text.
+    Equal shingle sets are one node, linked to their smallest id; the others are joined exactly
+    (:func:`set_pairs`), as a bucket's head would hide links between its other members.
     """
-    bands, rows = band_shape(threshold, permutations)
-    sets = texts.select("id", F.array_sort(k_shingles(F.col("text"), k)).alias("shingles"))
-    signed = persist_table(minhash(sets, permutations), "minhash")  # else each band would hash anew
-    keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))).alias("bucket")
-    dealt = signed.select("id", "shingles", keys)
-    heads = dealt.groupBy("bucket").agg(F.min(F.struct("id", "shingles")).alias("h"))
-    pairs = dealt.join(heads, "bucket").where("id <> h.id")
-    shared = F.size(F.array_intersect("shingles", "h.shingles"))
-    jaccard = shared / (F.size("shingles") + F.size("h.shingles") - shared)
-    return pairs.where(jaccard >= threshold).select(F.col("id").alias("src"), F.col("h.id").alias("dst")).distinct()
-
-
-def minhash_groups(texts: DataFrame, threshold: float, k: int = 2, permutations: int = 128, min_size: int = 1) -> DataFrame:
-    """``(group_id, id)``: linked texts; the smallest id names and represents its group."""
-    found = connected_components(lsh_links(texts, threshold, k, permutations)).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    sets = persist_table(texts.select("id", F.array_sort(k_shingles(F.col("text"), k)).alias("shingles")).where(F.size("shingles") > 0), "shingles")
+    heads = persist_table(sets.groupBy("shingles").agg(F.min("id").alias("head")), "heads")
+    equal = sets.join(heads, "shingles").where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    near = set_pairs(heads.select(F.col("head").alias("id"), "shingles"), threshold)
+    return equal.unionByName(near.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+
+
+def minhash_groups(texts: DataFrame, threshold: float, k: int = 2, min_size: int = 1) -> DataFrame:
+    """``(group_id, id)``: linked texts; the smallest id names and represents its group.
+
+    Every pair at or above the threshold is a link, also those that bands of MinHash values would miss.
+    """
+    found = connected_components(set_links(texts, threshold, k)).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
     every = texts.select("id").join(found, "id", "left").select(F.coalesce("group_id", "id").alias("group_id"), "id")
     if min_size <= 1:
         return every
@@ -93,7 +91,11 @@ def jaccard_pairs(texts: DataFrame, threshold: float, k: int = 2) -> DataFrame:
     Shingles are ordered by rarity; two sets can only reach the threshold if their rarest prefixes meet,
     so only prefixes are joined and candidates are verified on whole sets.
     """
-    sets = texts.select("id", F.array_sort(k_shingles(F.col("text"), k)).alias("shingles")).where(F.size("shingles") > 0)
+    return set_pairs(texts.select("id", F.array_sort(k_shingles(F.col("text"), k)).alias("shingles")).where(F.size("shingles") > 0), threshold)
+
+
+def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """:func:`jaccard_pairs` of ``sets (id, shingles)`` without empty ones."""
     each = sets.select("id", F.explode("shingles").alias("s"))
     counted = each.join(each.groupBy("s").agg(F.count("*").alias("n")), "s")
     ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("l"))
