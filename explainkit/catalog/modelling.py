@@ -114,16 +114,9 @@ def _(spark, d):
 
 
 def _factors(spark, d, alpha: float) -> DataFrame:
-    """Statements ranked for each test interaction by factors trained on a stated sample of interactions."""
-    rows = train(spark, d).orderBy(F.xxhash64("interaction_id")).limit(2000).collect()  # the trainer's documented bound
-    users, items = ({v: k for k, v in enumerate(sorted({r[c] for r in rows}))} for c in ("user_id", "item_id"))
-    model = factors.PairwiseFactors(dim=8, rate=0.05, epochs=2, alpha=alpha).fit([(users[r["user_id"]], items[r["item_id"]], [int(s) for s in r["statement_ids"]]) for r in rows], len(users), len(items), STATEMENTS)
-    left = spark.createDataFrame([(u, [float(x) for x in model.user[k]]) for u, k in users.items()], "id long, v array<double>")
-    right = spark.createDataFrame([(s, [float(x) for x in model.user_side[s]], float(model.user_bias[s])) for s in range(STATEMENTS)], "id long, v array<double>, b double")
-    from explainkit.operators.popularity import top_k
-
-    pairs = left.where("id % 20 = 0").select(F.col("id").alias("user_id")).crossJoin(right.select(F.col("id").alias("sid")))
-    return top_k(factors.factor_scores(pairs, left, right), ["user_id"], 10).select("user_id", "sid", "rank")
+    """The best statements of every user by factors trained on all training interactions."""
+    users, statements = factors.user_factors(train(spark, d), STATEMENTS, dim=8, rate=0.05, epochs=2, alpha=alpha)
+    return factors.best_statements(users, statements, 10)
 
 
 @query("bper_topk")
