@@ -1,15 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by their region (menus,
-headers, footers, sidebars, notices, adverts, forms, comments), link density, length and stop-word
-density; short and in-between blocks stay open. The second pass gives an open block the label of its
-nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass scores every block by its stop-word density,
+its length, its link density and its region (article, menu, footer, comments, none ...): high scores are
+good, low ones bad, short and in-between blocks stay open. The second pass gives an open block the label of
+its nearest decided neighbours, first those in the smallest element around it that holds one.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,8 +19,11 @@ from pyspark.sql import functions as F
 
 from explainkit.llm.common import map_rows
 
-#: Element names by their part in a page.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "head", "title", "textarea", "select", "button", "canvas", "video", "audio", "datalist"}
+#: Element names by their part in a page. The content of RAW elements is text without tags; PHRASE
+#: elements hold no block; HOLDERS may hold blocks; none of them is part of a page's text.
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
+PHRASE = {"button", "select", "datalist", "svg", "math"}
+HOLDERS = {"noscript", "template", "object", "canvas", "video", "audio", "head"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 SHUT_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "figcaption", "summary", "legend"}
 BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -36,19 +41,33 @@ STOP_WORDS = frozenset(
     "el los las del y que en un una por con no se su para es al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()
 )
 
-#: Thresholds: link density that is boilerplate, lengths in characters, stop-word densities.
-LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.5, 60, 80, 0.08, 0.2
+#: Scores of a block's region: inside an article, beside the articles of a page that has some, inside boilerplate.
+INSIDE, BESIDE, BOILERPLATE = 5.5, -4.0, -14.0
+#: A block is good from the first score up, bad from the second one down.
+GOOD, BAD = 1.5, -2.5
+#: Elements around a block that count; what is nested deeper counts as part of the last of them.
+NESTED = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
+    | <(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)
+      (?P<attrs>[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+[\s/]*+)*+)(?:>|\Z)
+    | <[!?/][^>]*(?:>|\Z)""",
+    re.S | re.X,
+)
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 
 
 @dataclass
 class Block:
-    bad: bool
+    """A run of text between block-level tags; ``path`` names the elements around it, outermost first."""
+
+    boilerplate: bool
     article: int
     heading: bool
+    path: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -62,157 +81,198 @@ class _Open:
     bad: bool
     article: int
     article_header: bool
+    number: int = 0
 
 
 def _hinted(name: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "role":
             if value.strip().lower() in BAD_ROLES:
                 return True
-        elif name not in {"html", "body"} and any(w.lower() in BAD_HINTS for w in _WORDS.findall(value)):
+        elif key in {"class", "id"} and name not in {"html", "body"} and any(w.lower() in BAD_HINTS for w in _WORDS.findall(value)):
             return True
     return False
 
 
+class _Ahead:
+    """The next closing or block-level tag from a place on; a tag found once serves all places before it."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, {}
+
+    def _next(self, key: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        if key not in self.found or (self.found[key] and self.found[key].start() < at):
+            self.found[key] = pattern.search(self.page, at)
+        return self.found[key]
+
+    def closing(self, name: str, at: int) -> re.Match | None:
+        return self._next(name, re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I), at)
+
+    def skipped(self, name: str, at: int) -> int:
+        """Where the text goes on behind an element that is left out.
+
+        Raw elements end at their closing tag. Without one, scripts and styles run to the end of the head or of
+        the page as in a browser; other elements, and phrases that a block interrupts, end at the next
+        block-level tag.
+        """
+        end, block = self.closing(name, at), self._next("", _BLOCK_TAG, at)
+        if end and (name in RAW or not block or end.start() <= block.start()):
+            return end.end()
+        if not end and name in {"script", "style"}:
+            body = re.compile(r"</head\b|<body\b", re.I).search(self.page, at)
+            return body.start() if body else len(self.page)
+        return block.start() if block else len(self.page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, each with its region."""
     stack = [_Open("", False, 0, False)]
     out: list[Block] = []
-    state = {"block": None, "link": 0, "heading": 0, "articles": 0}
-
-    def say(text: str) -> None:
-        top = stack[-1]
-        if state["block"] is None:
-            if not text.strip():
-                return
-            state["block"] = Block(top.bad or top.article_header and not state["heading"], top.article, bool(state["heading"]))
-            out.append(state["block"])
-        state["block"].parts.append(text)
-        if state["link"]:
-            state["block"].linked += len(text.strip())
-
-    at = 0
+    ahead, names = _Ahead(page), Counter()
+    block, link, heading, articles, opened, at = None, 0, 0, 0, 0, 0
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text:
-            say(text)
+        if text and (block is not None or text.strip()):
+            if block is None:
+                top = stack[-1]
+                block = Block(top.bad or top.article_header and not heading, top.article, bool(heading), tuple(o.number for o in stack[:NESTED]))
+                out.append(block)
+            block.parts.append(text)
+            if link:
+                block.linked += len(text.strip())
         if not m:
             return out
         at = m.end()
-        name = (m[2] or "").lower()
+        name, closing = (m["name"] or "").lower(), bool(m["end"])
         if not name:
             continue
-        closing = m[1] == "/"
-        if name in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                if name == "head":  # an unclosed head ends at the body
-                    body = re.compile(r"<body\b", re.I).search(page, at)
-                    at = end.end() if end and (not body or end.start() < body.start()) else body.start() if body else at
-                else:
-                    at = end.end() if end else len(page)
+        if name in RAW or name in PHRASE:
+            if not closing and (name in RAW or not m["attrs"].endswith("/")):
+                at = ahead.skipped(name, at)
             continue
         if name == "a":
-            state["link"] = 0 if closing else 1
+            link = 0 if closing else 1
             continue
         if name == "br":
-            if state["block"] is not None:
-                state["block"].parts.append(" ")
+            if block is not None:
+                block.parts.append(" ")
             continue
-        if name not in BLOCK:
+        if name in HOLDERS:
+            if not closing and not ahead.closing(name, at):
+                at = ahead.skipped(name, at) if name != "head" else at
+                continue
+        elif name not in BLOCK:
             continue
-        state["block"] = None
+        block = None
+        if name == "body":  # what a head left open ends here
+            while stack[-1].name == "head":
+                names[stack.pop().name] -= 1
         if name[0] == "h" and name[1:].isdigit():
-            state["heading"] = 0 if closing else 1
+            heading = 0 if closing else 1
             continue
         if name in {"hr", "p"}:
-            state["heading"] = 0
-            if name == "p" and not closing and _hinted(name, m[3]):
-                stack.append(_Open("p", True, stack[-1].article, False))
+            heading = 0
+            if name == "p" and not closing and _hinted(name, m["attrs"]):
+                opened += 1
+                stack.append(_Open("p", True, stack[-1].article, False, opened))
             elif stack[-1].name == "p":
                 stack.pop()
             continue
         if stack[-1].name == "p" and name in SHUT_P:
             stack.pop()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    state["heading"] = state["link"] = 0
+            while names[name]:
+                names[last := stack.pop().name] -= 1
+                if last == name:
+                    heading = link = 0
                     break
         else:
-            top, hinted = stack[-1], _hinted(name, m[3])
-            new = _Open(name, top.bad or hinted or name in BAD_TAGS, top.article, top.article_header)
-            if name in {"article", "main"} and not hinted and not any(o.name in BAD_TAGS for o in stack):
-                state["articles"] += 1
-                new.bad, new.article = False, top.article or state["articles"]
+            top, hinted = stack[-1], _hinted(name, m["attrs"])
+            opened += 1
+            new = _Open(name, top.bad or hinted or name in BAD_TAGS or name in HOLDERS, top.article, top.article_header, opened)
+            if name in {"article", "main"} and not hinted and not any(o.name in BAD_TAGS or o.name in HOLDERS for o in stack):
+                articles += 1
+                new.bad, new.article = False, top.article or articles
             elif name == "header":
                 new.bad, new.article_header = top.bad or hinted or not top.article, bool(top.article)
             stack.append(new)
+            names[name] += 1
 
 
-def _first_pass(block: Block, text: str) -> str:
-    links = block.linked / max(1, len(text))
-    if block.bad or links > LINKS:
-        return "bad"
-    if len(text) < SHORT:
-        return "open"
+def block_score(text: str, linked: int, heading: bool, region: float) -> float:
+    """Evidence that a block is part of the main text.
+
+    Length counts from -1.5 (14 characters and less) over 0 (40) to 2 (160 and more), stop words from -0.5 (none)
+    to 1.5 (15 % of the words and more), links from 0 (a quarter of the characters) to -6 (three quarters), a
+    heading 1.
+    """
     words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH and len(text) >= LONG:
-        return "good"
-    if block.article:
-        return "good" if density >= STOP_LOW else "open"
-    return "open" if density >= STOP_LOW else "bad"
-
-
-def _second_pass(found: list[tuple[Block, str]], labels: list[str]) -> list[str]:
-    """Labels with the open blocks decided by their neighbours."""
-    n, articles = len(labels), any(b.article for b, _ in found)
-    before, after, last = [(-1, "")] * n, [(-1, "")] * n, {}
-    for i in range(n):
-        key = found[i][0].article
-        before[i] = last.get(key, (-1, ""))
-        if labels[i] != "open":
-            last[key] = (i, labels[i])
-    last = {}
-    for i in range(n - 1, -1, -1):
-        key = found[i][0].article
-        after[i] = last.get(key, (-1, ""))
-        if labels[i] != "open":
-            last[key] = (i, labels[i])
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    length = min(2.0, max(-1.5, math.log2(len(text) / 40)))
+    links = min(1.0, max(0.0, (linked / len(text) - 0.25) / 0.5))
+    return length + 2 * min(1.0, stops / 0.15) - 0.5 - 6 * links + heading + region
+
+
+def first_pass(found: list[tuple[Block, str]]) -> list[float]:
+    """The score of every block; its region counts beside its text."""
+    articles = any(b.article for b, _ in found)
+    region = lambda b: BOILERPLATE if b.boilerplate else INSIDE if b.article else BESIDE if articles else 0.0
+    return [block_score(t, b.linked, b.heading, region(b)) for b, t in found]
+
+
+def second_pass(found: list[tuple[Block, str]], scores: list[float]) -> list[bool]:
+    """Whether each block is good, the open ones by their neighbours.
+
+    The nearest decided blocks before and behind are sought in the innermost element around the block, then in
+    the next one outwards. The nearer one's label holds; at equal distance a heading goes with what follows it,
+    any other block with its own score. Boilerplate inside an article says nothing about the article: an article
+    block without another decided block in its article is good. A page without any decided block is all good.
+    """
+    n, decided = len(scores), [s >= GOOD or s <= BAD for s in scores]
+    around: list[list[list[int]]] = [[], []]
+    for side, order in enumerate((range(n), range(n - 1, -1, -1))):
+        last: dict[tuple[int, int], int] = {}
+        seen: list[list[int]] = [[] for _ in range(n)]
+        for i in order:
+            block = found[i][0]
+            if not decided[i]:
+                seen[i] = [last.get((e, block.article), -1) for e in block.path]
+                continue
+            for e in block.path:
+                if not block.boilerplate:
+                    last[e, block.article] = i
+                last[e, 0] = i
+        around[side] = seen
     out = []
     for i, (block, _) in enumerate(found):
-        if labels[i] != "open":
-            out.append(labels[i])
+        if decided[i]:
+            out.append(scores[i] >= GOOD)
             continue
-        (p, left), (q, right) = before[i], after[i]
-        if block.article:  # inside an article only its own decided blocks speak
-            out.append("bad" if left == right == "bad" else "good")
-        elif articles or not (left or right):
-            out.append("bad")
-        elif left == right or not left or not right:
-            out.append(left or right)
-        elif block.heading:
-            out.append(right)
-        else:
-            out.append(left if i - p < q - i else right if q - i < i - p else "bad")
+        label = bool(block.article) or not any(decided)
+        for p, q in zip(reversed(around[0][i]), reversed(around[1][i]), strict=True):
+            if p < 0 and q < 0:
+                continue
+            near = [j for j in (p, q) if j >= 0]
+            labels = {scores[j] >= GOOD for j in near if abs(i - j) == min(abs(i - k) for k in near)}
+            label = labels.pop() if len(labels) == 1 else scores[q] >= GOOD if block.heading else scores[i] >= 0
+            break
+        out.append(label)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by an empty line; null or empty pages give empty text."""
     found = [(b, t) for b in blocks(page or "") if (t := b.text())]
-    labels = _second_pass(found, [_first_pass(b, t) for b, t in found])
-    return "\n\n".join(t for (_, t), label in zip(found, labels, strict=True) if label == "good")
+    return "\n\n".join(t for (_, t), good in zip(found, second_pass(found, first_pass(found)), strict=True) if good)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each page.
 
-    Null or empty html gives empty text; truncated pages give what they hold; repeated rows are each
+    Null or empty html gives empty text; truncated pages give what they hold; very long pages are read whole;
+    neighbours at equal distance are decided as :func:`second_pass` says; repeated rows and null ids are each
     answered; extra columns don't matter; an empty table gives no rows. No shuffle.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
