@@ -4,22 +4,27 @@ For merge vocabularies the encoding of every prefix ends in exactly one token. A
 pieces gives the pieces that end at a position; a candidate is the prefix's last token if, beside the
 last token of the prefix before it, the two come out unchanged when merged together. That table is
 filled left to right, and the ids are read from its end backwards. White space only leads a piece, so
-texts are cut before it and units are memoised. Characters outside the pieces fall back to bytes.
+texts are cut before it, and around line breaks where no piece holds one; a worker keeps the ids of short
+units. Characters outside the pieces fall back to bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import compress
 
 from pyspark.sql import DataFrame
 
 from explainkit.llm.common import Memo, id_and_text, map_rows
 
 SPACE = "▁"
-#: No token; pair tests kept by a worker, and units it keeps (about 230 bytes each).
-NONE, FITS, UNITS = -1, 400_000, 500_000
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Stands before what follows a line break.
+LINE = "\x01"
+#: No token; pair tests kept by a worker (about 130 bytes each); characters of a unit that is kept.
+NONE, FITS, KEPT = -1, 800_000, 64
+#: Bytes that a worker's kept units may take, and what one takes beside its characters.
+UNIT_BYTES, ENTRY = 160_000_000, 200
 
 
 class PieceCoder:
@@ -59,6 +64,10 @@ class PieceCoder:
                 raise ValueError("only normal, byte, control and unknown pieces are supported")
         if len(self.byte_id) != 256:
             raise ValueError("a model with byte fallback is needed")
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.lines = not any("\n" in p for p in self.ids)
+        if self.lines:
+            self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, i)
@@ -89,6 +98,16 @@ class PieceCoder:
         second = self.pieces[piece]
         return self.merged(first + second) == ([first, second] if first else [second])
 
+    def fit(self, before: int, piece: int) -> bool:
+        """:meth:`compatible`, kept."""
+        key, fits = before << 20 | piece, self.fits
+        known = fits.get(key)
+        if known is None:
+            if len(fits) > FITS:
+                fits.clear()
+            known = fits[key] = self.compatible(before, piece)
+        return known
+
     def last_tokens(self, unit: str) -> list[int]:
         """The last token of each prefix."""
         last, sizes, fits = [NONE] * len(unit), self.sizes, self.fits
@@ -101,13 +120,8 @@ class PieceCoder:
                 before = last[start]
                 if before == NONE:  # no piece ends there: the character stands alone
                     before = last[start] = NONE - 1 - ord(unit[start])
-            key = before << 20 | piece
-            known = fits.get(key)
-            if known is None:
-                if len(fits) > FITS:
-                    fits.clear()
-                known = fits[key] = self.compatible(before, piece)
-            if known:
+            known = fits.get(before << 20 | piece)
+            if known or known is None and self.fit(before, piece):
                 last[end] = piece
         return last
 
@@ -125,12 +139,15 @@ class PieceCoder:
         return out[::-1]
 
     def units(self, text: str) -> list[str]:
-        """The text with its leading mark, cut before each run of white space."""
-        marked = SPACE + text.replace(" ", SPACE)
-        parts = marked.split(SPACE)
-        if "" in parts[1:]:
-            return _UNIT.findall(marked)
-        return [SPACE + p for p in parts[1:]]
+        """The text with its leading mark, cut before each run of white space (and around line breaks)."""
+        return self.cut.findall(SPACE + text.replace(" ", SPACE))
+
+    def parts(self, text: str) -> list[str] | None:
+        """Keys of the units of a text without special cases: a unit without its leading mark, a line break, or
+        ``LINE`` and a unit that follows a line break. ``None``: the text holds ``LINE`` itself."""
+        if LINE in text:
+            return None
+        return (text.replace("\n", f" \n {LINE}") if self.lines else text).split(" ")
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of a text, closed with the end id."""
@@ -178,68 +195,117 @@ def _bytes_text(raw: bytes) -> str:
 
 
 class Units(Memo):
-    """A worker's encoded units: ids joined by spaces. Surfaces that differ from the unit's own text are kept apart."""
+    """A worker's ids of units, as decimal ids each followed by a space, by :meth:`PieceCoder.parts` key.
+
+    What is kept is bounded in bytes, and long units aren't kept. ``own`` holds units by themselves, for texts
+    with runs of white space; ``other`` holds the surfaces of units that don't spell like their text.
+    """
 
     def __init__(self, coder: PieceCoder) -> None:
         super().__init__()
-        self.coder, self.other = coder, {}
+        self.coder, self.own, self.other = coder, {}, {}
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.own.clear()
+        self.other.clear()
+        self.chars = 0
+        if self.coder.lines:
+            self["\n"] = self.written(self.coder.unit_ids("\n"))
+            self[LINE] = ""
+
+    @staticmethod
+    def written(ids: list[int]) -> str:
+        return " ".join(map(str, ids)) + " "
+
+    def unit(self, unit: str) -> str:
+        """Ids of a unit; its surface is checked, by decoding the ids."""
+        coder = self.coder
+        ids = coder.unit_ids(unit)
+        if "".join([coder.pieces[i] for i in ids]) != unit and (surface := coder.surface(ids)) != unit.replace(SPACE, " "):
+            self.other[unit] = surface
+        return self.written(ids)
+
+    def learn(self, parts: set[str]) -> dict[str, str]:
+        """Ids of parts that aren't kept. A trailing mark is added to its stem's table where the two stay apart,
+        as the prefix table has it. Long parts are returned only."""
+        coder, marks, load, found = self.coder, self.coder.ids, 0, {}
+        for part in parts:
+            last = part[-1]
+            if not last.isalnum() and (known := self.get(part[:-1])) and (mark := marks.get(last)) is not None:
+                tail = int(known[known.rfind(" ", 0, -1) + 1 : -1])
+                if tail not in coder.byte_of and coder.fit(tail, mark) and not self.other:
+                    self[part] = f"{known}{mark} "
+                    load += 2 * len(part) + 5 * len(known) // 4 + ENTRY
+                    continue
+            ids = self.unit(part[1:] if part[0] == LINE else SPACE + part)
+            if len(part) <= KEPT:
+                self[part] = ids
+                load += 2 * len(part) + len(ids) + ENTRY
+            else:
+                found[part] = ids
+        self.chars += load
+        return found
 
-    def learn(self, units: set[str]) -> None:
-        """Encode and decode the units that aren't kept yet. A trailing mark is added to its stem's table
-        where the two stay apart, as the prefix table has it."""
-        coder, ids_of, fits = self.coder, self.coder.ids, self.coder.compatible
+    def ids(self, texts: list[str | None]) -> list[str]:
+        """Each text's ids, written."""
         self.touch()
-        if len(self) > UNITS:
+        if self.chars > UNIT_BYTES:
             self.clear()
-            self.other.clear()
-        for unit in units:
-            if unit in self:
+        coder, get, plans, missing = self.coder, self.get, [], set()
+        for text in texts:
+            parts = coder.parts(text) if text else None
+            found, gaps = [*map(get, parts)] if parts else [], ()
+            if None in found:
+                gaps = [*compress(range(len(found)), [v is None for v in found])]
+                new = [parts[i] for i in gaps]
+                if "" in new or any(SPACE in p for p in new):
+                    parts = None
+                else:
+                    missing.update(new)
+            plans.append((parts, found, gaps))
+        long = self.learn(missing)
+        out = []
+        for text, (parts, found, gaps) in zip(texts, plans, strict=True):
+            if parts is None:
+                out.append("".join(map(self.whole, coder.units(text))) if text else "")
                 continue
-            stem, mark = unit[:-1], ids_of.get(unit[-1])
-            known = self.get(stem) if mark is not None and len(stem) > 1 and not unit[-1].isalnum() and unit[-1] != SPACE else None
-            tail = int(known[known.rfind(" ") + 1 :]) if known is not None else 0
-            if known is not None and tail not in coder.byte_of and fits(tail, mark):
-                self[unit] = f"{known} {mark}"
-                ids = [tail, mark]
-                same = coder.surface(ids) == (coder.pieces[tail] + unit[-1]).replace(SPACE, " ") and stem not in self.other
-            else:
-                ids = coder.unit_ids(unit)
-                self[unit] = " ".join(map(str, ids))
-                same = coder.surface(ids) == unit.replace(SPACE, " ")
-            if not same:
-                self.other[unit] = coder.surface([int(x) for x in self[unit].split(" ")])
+            for i in gaps:
+                found[i] = get(parts[i]) or long[parts[i]]
+            out.append("".join(found))
+        return out
+
+    def whole(self, unit: str) -> str:
+        known = self.own.get(unit)
+        if known is None:
+            known = self.unit(unit)
+            if len(unit) <= KEPT:
+                self.own[unit] = known
+                self.chars += 2 * len(unit) + len(known) + ENTRY
+        return known
 
 
-_state: dict[str, tuple] = {}
+_state: dict[str, Units] = {}
 
 
-def _coder(path: str) -> tuple[PieceCoder, Units]:
+def kept_units(path: str) -> Units:
     if path not in _state:
-        coder = PieceCoder(path)
-        _state[path] = (coder, Units(coder))
+        _state[path] = Units(PieceCoder(path))
     return _state[path]
 
 
-def _known_units(path: str, texts: list[str | None]) -> tuple[PieceCoder, Units, list[list[str]]]:
-    """Each text's units, all of them kept."""
-    coder, memo = _coder(path)
-    lists, seen = [coder.units(t) if t else [] for t in texts], set()
-    for units in lists:
-        seen.update(units)
-    memo.learn(seen)
-    return coder, memo, lists
-
-
 def encode_digests(path: str, texts: list[str | None]) -> list[list]:
     """For each text: number of ids, hash of the ids, hash of the decoded text."""
-    coder, memo, lists = _known_units(path, texts)
+    memo = kept_units(path)
+    coder, written = memo.coder, memo.ids(texts)
     sizes, ids_hash, text_hash, tail = [], [], [], str(coder.end)
-    for units in lists:
-        ids = " ".join([*map(memo.__getitem__, units), tail])
-        if memo.other and not memo.other.keys().isdisjoint(units):
-            decoded = "".join([memo.other.get(u) or u.replace(SPACE, " ") for u in units])[1:]
-        else:
-            decoded = "".join(units).replace(SPACE, " ")[1:]
+    for text, ids in zip(texts, written, strict=True):
+        ids += tail
+        if memo.other:
+            decoded = coder.decode([int(x) for x in ids.split(" ")])
+        else:  # every unit's ids were decoded when it was learned, and spelled the unit
+            decoded = (text or "").replace(SPACE, " ")
         sizes.append(ids.count(" ") + 1)
         ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
         text_hash.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
@@ -248,34 +314,35 @@ def encode_digests(path: str, texts: list[str | None]) -> list[list]:
 
 def encode_texts(path: str, texts: list[str | None]) -> list[list[int]]:
     """Ids of each text, with the end id."""
-    coder, memo, lists = _known_units(path, texts)
-    return [[*(int(i) for u in units for i in memo[u].split()), coder.end] for units in lists]
+    memo = kept_units(path)
+    return [[*map(int, ids.split()), memo.coder.end] for ids in memo.ids(texts)]
 
 
 def count_texts(path: str, texts: list[str | None]) -> list[int]:
     """Number of ids of each text, without an end id."""
-    _, memo, lists = _known_units(path, texts)
-    return [sum(memo[u].count(" ") + 1 for u in units) for units in lists]
+    return [ids.count(" ") for ids in kept_units(path).ids(texts)]
 
 
 def piece_ids(docs: DataFrame, path: str) -> DataFrame:
     """Per document: ``ids`` (closed with the end id) and ``decoded`` text.
 
     Null text counts as empty and gives the end id alone; every row is answered, repeated rows too;
-    null ids stay null; extra columns don't matter. Runs without a shuffle, a slice of rows at a time.
+    null ids stay null; extra columns don't matter; an empty table gives no rows. Merges of equal score go
+    left to right. Very long texts and units are encoded whole; long units aren't kept by the worker. Runs
+    without a shuffle, a slice of rows at a time.
     """
 
     def work(cols: list[list]) -> list[list]:
         ids, texts = cols
         found = encode_texts(path, texts)
-        coder = _coder(path)[0]
+        coder = kept_units(path).coder
         return [ids, found, [coder.decode(f) for f in found]]
 
     return map_rows(id_and_text(docs), ["doc_id", "text"], work, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """As :func:`piece_ids`, with SHA-256 digests in place of the ids and the decoded text."""
+    """As :func:`piece_ids`, odd rows included, with SHA-256 digests in place of the ids and the decoded text."""
 
     def work(cols: list[list]) -> list[list]:
         return [cols[0], *encode_digests(path, cols[1])]

@@ -90,6 +90,31 @@ def test_piece_table_on_random_units():
         assert coder.decode(coder.encode(text)) == library.decode(library.encode(text))
 
 
+def test_kept_units_match_library(monkeypatch):
+    """Texts of words, line breaks, runs of white space and control characters, with the worker's units kept or let go."""
+    import sentencepiece
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(6)
+    parts = ["the", "thing", "é", "x.", "--", ",", "▁", "日本", "🙂", "\x01", "\r", "y" * 70, "</s>", "<0x0A>"]
+    gaps = [" ", " ", " ", "\n", "\n", "  ", " \n", "\n ", "\n\n", "\t", "", "▁", "\x01"]
+    texts = ["".join(rng.choice(parts) + rng.choice(gaps[: rng.choice([5, 13])]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for limit in (10**9, 2000):
+        monkeypatch.setattr(pieces, "UNIT_BYTES", limit)
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            want = [library.encode(t) for t in some]
+            assert pieces.count_texts(PIECES, some) == [*map(len, want)]
+            sizes, ids_hash, text_hash = pieces.encode_digests(PIECES, some)
+            for n, a, b, ids in zip(sizes, ids_hash, text_hash, want):
+                ids.append(2)
+                assert (n, a, b) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    memo = pieces.kept_units(PIECES)
+    monkeypatch.setattr(pieces, "UNIT_BYTES", 10**9)
+    memo.clear()
+    pieces.count_texts(PIECES, ["z" * 20_000 + str(i) for i in range(20)])
+    assert sum(map(len, memo)) < 100 and memo.chars < 10_000
+
+
 def test_merge_counts_match_library(docs, rows, empty, repeated):
     from tokenizers import Tokenizer
 
