@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 from typing import ClassVar
 
 from pyspark.sql import DataFrame
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 
 #: Rows handled at once inside a task.
 SLICE = 256
-#: Characters that a worker's memo may hold before it is emptied.
+#: Characters that a worker's memo of hashes may hold before it is emptied.
 MEMO_CHARS = 12_000_000
 
 #: The Unicode White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_CHUNK = re.compile(f"(?<=[^{WHITE}])(?= )")
-_ODD = re.compile(f"[{WHITE}] ")
+_CUT = re.compile(f"(?= [^{WHITE}])")
+#: Stands before a word at a text's start or behind a line break.
+LINE = "\x01"
+#: Bytes that a worker's memo of words may take, what an entry takes beside its characters, and characters of a
+#: word that is kept.
+WORD_BYTES, ENTRY, KEPT = 200_000_000, 200, 64
 
 
 #: Bytes of an Arrow batch on its way to Python.
@@ -73,16 +78,6 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def spaced_chunks(text: str) -> tuple[str, list[str]]:
-    """Cut a text before each space that follows a character that isn't white space.
-
-    The byte-level pattern never joins such a character with the space after it, so the chunks'
-    tokens are the text's tokens. Returns the first chunk, and the others without their leading space.
-    """
-    parts = [p[1:] if i else p for i, p in enumerate(_CHUNK.split(text))] if _ODD.search(text) else text.split(" ")
-    return parts[0], parts[1:]
-
-
 class Memo(dict):
     """A worker's memo, emptied between slices once its keys pass a bound, or once another operator's memo grows."""
 
@@ -108,3 +103,58 @@ class Memo(dict):
         if self.chars > MEMO_CHARS:
             self.clear()
             self.chars = 0
+
+
+class Words(Memo):
+    """A worker's values of words, for byte-level vocabularies whose pattern never joins a word with a space behind it.
+
+    A text is cut before each space that a word follows, and on both sides of a line break between words: the
+    pattern cuts there too, so the parts' tokens are the text's tokens. Keys are words without their leading
+    space, line breaks, and ``LINE`` with a word that has no space before it. Texts with runs of white space are
+    cut by a pattern of their own, into parts kept in ``own``. ``learn`` gives the values of parts.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list]) -> None:
+        super().__init__()
+        self.learn, self.own = learn, {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.own.clear()
+
+    def values(self, texts: list[str]) -> list[list]:
+        """The values of each text's parts, in order."""
+        self.touch()
+        if self.chars > WORD_BYTES:
+            self.clear()
+            self.chars = 0
+        get, plans, missing, odd = self.get, [], {}, {}
+        for text in texts:
+            keys = [] if not text or LINE in text else f"{LINE}{text}".replace("\n", f" \n {LINE}").split(" ")
+            found, gaps = [*map(get, keys)], ()
+            if None in found:
+                gaps = [*compress(range(len(found)), [v is None for v in found])]
+                new = [keys[i] for i in gaps]
+                if any(k in {"", LINE} or k[k[0] == LINE] in WHITE if k != "\n" else False for k in new):
+                    keys = []
+                else:
+                    missing.update(dict.fromkeys(new))
+            if text and not keys:
+                keys = _CUT.split(text)
+                odd.update((k, None) for k in keys if k and k not in self.own)
+                found, gaps = None, ()
+            plans.append((keys, found, gaps))
+        values = self.learn([k[1:] if k[0] == LINE else k if k == "\n" else " " + k for k in missing] + [*odd])
+        new, own = dict(zip(missing, values, strict=False)), dict(zip(odd, values[len(missing) :], strict=True))
+        out = []
+        for keys, found, gaps in plans:
+            if found is None:
+                found = [own[k] if k in own else self.own[k] for k in keys if k]
+            for i in gaps:
+                found[i] = new[keys[i]]
+            out.append(found)
+        for target, learned in ((self, new), (self.own, own)):
+            kept = {k: v for k, v in learned.items() if len(k) <= KEPT}
+            target.update(kept)
+            self.chars += 2 * sum(map(len, kept)) + ENTRY * len(kept)
+        return out

@@ -14,7 +14,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from explainkit.llm.common import WHITE, Memo, id_and_text, map_rows, spaced_chunks
+from explainkit.llm.common import WHITE, Words, id_and_text, map_rows
 
 _NONE = np.int64(2**62)
 #: Symbols laid out at once.
@@ -119,27 +119,12 @@ _state: dict[str, tuple] = {}
 def count_texts(path: str, texts: list[str | None]) -> list[int]:
     """Token counts of whole texts; null counts as empty. Special strings inside count as one token."""
     if path not in _state:
-        _state[path] = (RankMerger(path), Memo())
-    merger, memo = _state[path]
-    memo.touch()
-    plans, new = [], {}
-    for text in texts:
-        text = text or ""
-        runs = merger.special_split.split(text) if merger.special_split and any(s in text for s in merger.special) else [text]
-        cut = [spaced_chunks(r) for r in runs if r]
-        plans.append((len(runs) - 1, cut))
-        for first, rest in cut:
-            if first and ("", first) not in memo:
-                new[("", first)] = first
-            for p in set(rest):
-                if p not in memo:
-                    new[p] = " " + p
-    if new:
-        memo.update(zip(new, merger.count_new(list(new.values())), strict=True))
-    get = memo.__getitem__
-    out = [n + sum((memo[("", first)] if first else 0) + sum(map(get, rest)) for first, rest in cut) for n, cut in plans]
-    memo.settle(sum(map(len, new.values())))
-    return out
+        merger = RankMerger(path)
+        _state[path] = (merger, Words(merger.count_new))
+    merger, words = _state[path]
+    runs = [merger.special_split.split(t) if merger.special_split and any(s in t for s in merger.special) else [t] for t in (t or "" for t in texts)]
+    counts = iter([sum(v) for v in words.values([r for some in runs for r in some])])
+    return [len(some) - 1 + sum(next(counts) for _ in some) for some in runs]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:

@@ -17,28 +17,28 @@ from __future__ import annotations
 
 import bisect
 import io
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import compress
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import WHITE, Memo, id_and_text, small_batches, spaced_chunks
+from explainkit.llm.common import LINE, WHITE, Words, id_and_text, small_batches
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
-_ENDS = frozenset(WHITE) | {""}
+_BLANK = re.compile(f"[{WHITE}]")
 _FOOTER = struct.Struct("<QQQQQQB8s")
 _INDEX = struct.Struct("<QQQQ")
 #: Raw bytes after which a data block is closed, entries between restarts, Bloom bits and probes a key.
 BLOCK, RESTART, BITS, PROBES = 256 * 1024, 16, 10, 7
 #: Text bytes that a shard is meant to hold.
 SHARD_BYTES = 24 * 1024 * 1024
-#: Chunks encoded in one text.
+#: Words encoded in one text.
 TOGETHER = 4096
 
 
@@ -220,7 +220,7 @@ class ShardReader:
 
 
 class _Encoder:
-    """The library's ids, memoised by chunk."""
+    """The library's ids, kept by word."""
 
     def __init__(self, path: str, end_id: int) -> None:
         import os
@@ -236,71 +236,71 @@ class _Encoder:
         self.width = 2 if max(self.model.get_vocab_size(), end_id + 1) <= 65536 else 4
         self.kind = f"<u{self.width}"
         self.end = self._bytes([end_id])
-        import re
-
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         # ids whose text starts with a space (its stand-in in byte-level vocabularies)
         self.leads = np.zeros(1 << (8 * self.width if self.width == 2 else 24), dtype=bool)
         self.leads[[i for t, i in self.model.get_vocab(False).items() if t.startswith("Ġ")]] = True
         self.marks = {s: self._bytes([self.model.token_to_id(s)]) for s in self.special}
-        self.memo = Memo()
+        self.points = {c: self._bytes(self.model.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self.breaks = self.model.encode("\n", add_special_tokens=False).ids
+        self.words = Words(self._learn)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Memoise chunks given without their leading space, many of them in one text.
-
-        A token that starts with a space can only begin a chunk, so the ids fall apart at those tokens.
-        """
-        for at in range(0, len(parts), TOGETHER):
-            some = parts[at : at + TOGETHER]
-            found = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            starts = np.flatnonzero(self.leads[found])
-            if len(starts) != len(some):
-                raise ValueError("the vocabulary joins a space to what stands before it")
-            raw, cuts = found.tobytes(), [*(starts * self.width).tolist(), len(found) * self.width]
-            self.memo.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+    def _cut(self, text: str, starts: Callable[[np.ndarray], np.ndarray], count: int, skip: int) -> list[bytes]:
+        """The ids of a text of ``count`` parts, cut where parts start."""
+        found = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+        at = starts(found)
+        if len(at) != count:
+            raise ValueError("the vocabulary joins a space or a line break to what stands before it")
+        raw, cuts = found.tobytes(), [*(at * self.width).tolist(), len(found) * self.width]
+        return [raw[a + skip * self.width : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts. Words are encoded many at a time: a token that starts with a space can only begin a
+        spaced word, and a line break stands alone between two words. A mark behind a letter is a token by itself."""
+        spaced, plain, odd, stems = {}, {}, {}, {}
+        known = self.words.get
+        marked = lambda p: p[-1] in self.points and p[-2:-1].isalpha() and p[-2] < "\u0250"
+        for p in parts:
+            stem = p
+            if marked(p):
+                stem = p[:-1]
+                have = known(stem[1:]) if p[0] == " " else known(LINE + stem)
+                if have is not None:
+                    stems[p] = have
+                    continue
+            (spaced if stem[0] == " " and len(stem) > 1 and not _BLANK.search(stem, 1) else odd if _BLANK.search(stem) else plain)[stem] = None
+        for group, text, starts, skip in (
+            (spaced, "".join, lambda f: np.flatnonzero(self.leads[f]), 0),
+            (plain, lambda some: "\n" + "\n".join(some), lambda f: np.flatnonzero(f == self.breaks[0]), 1),
+        ):
+            keys = list(group)
+            if group is plain and len(self.breaks) != 1:
+                odd |= plain
+                continue
+            for at in range(0, len(keys), TOGETHER):
+                some = keys[at : at + TOGETHER]
+                group.update(zip(some, self._cut(text(some), starts, len(some), skip), strict=True))
+        if odd:
+            odd = dict(zip(odd, (self._bytes(e.ids) for e in self.model.encode_batch_fast(list(odd), add_special_tokens=False)), strict=True))
+        found = {**plain, **spaced, **odd}
+        return [(stems.get(p) or found[p[:-1]]) + self.points[p[-1]] if marked(p) else found[p] for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id, as bytes. Chunks are looked up once; those that aren't kept are learned and filled in."""
-        self.memo.touch()
-        memo, get = self.memo, self.memo.get
-        plans, odd, missing = [], {}, set()
-        for text in texts:
+        """Ids of each text with the end id, as bytes."""
+        runs, owner = [], []
+        for i, text in enumerate(texts):
             text = text or ""
-            runs = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            plan = []
-            for i, run in enumerate(runs):
-                if i % 2:
-                    plan.append((None, None, [self.marks[run]]))
-                elif run:
-                    first, rest = spaced_chunks(run)
-                    found = list(map(get, rest))
-                    if None in found:
-                        missing.update(compress(rest, [v is None for v in found]))
-                    if first and ("", first) not in memo:
-                        odd[("", first)] = first
-                    plan.append((first, rest, found))
-            plans.append(plan)
-        # chunks with spaces or an end of white space inside are encoded on their own
-        own = {p for p in missing if p[-1:] in _ENDS or " " in p}
-        odd |= {p: " " + p for p in own}
-        self._learn([p for p in missing if p not in own])
-        if odd:
-            for key, found in zip(odd, self.model.encode_batch_fast(list(odd.values()), add_special_tokens=False), strict=True):
-                memo[key] = self._bytes(found.ids)
-        out = []
-        for plan in plans:
-            parts = []
-            for first, rest, found in plan:
-                if first:
-                    parts.append(memo[("", first)])
-                parts += [v or memo[p] for v, p in zip(found, rest, strict=True)] if None in found else found
-            parts.append(self.end)
-            out.append(b"".join(parts))
-        memo.settle(sum(map(len, missing)) + sum(map(len, odd.values())))
-        return out
+            some = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
+            runs += some
+            owner += [(i, j % 2) for j in range(len(some))]
+        values = iter(self.words.values([r for r, (_, special) in zip(runs, owner, strict=True) if not special]))
+        out: list[list[bytes]] = [[] for _ in texts]
+        for run, (i, special) in zip(runs, owner, strict=True):
+            out[i] += [self.marks[run]] if special else next(values)
+        return [b"".join([*parts, self.end]) for parts in out]
 
 
 _encoders: dict[tuple, _Encoder] = {}

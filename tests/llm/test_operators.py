@@ -133,6 +133,27 @@ def test_merge_counts_match_library(docs, rows, empty, repeated):
         assert r["n_tokens"] == len(library.encode(rows[r["doc_id"]][1] or ""))
 
 
+def test_kept_words_match_library(monkeypatch):
+    """Texts of words, marks and runs of white space, with the worker's words kept or let go."""
+    from explainkit.llm import common
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(BYTES), random.Random(8)
+    parts = ["the", "thing", "é", "x.", "Don't", "a,b", "12", "--", ".", "日本。", "🙂!", "\x01", "y" * 70 + ".", "<|endoftext|>", "ʰ.", "٣"]
+    gaps = [" ", " ", " ", "\n", "\n", "  ", "   ", " \n", "\n ", "\n\n", "\n\n\n", "\t", "\t\t", " \t", "\xa0", "\xa0 ", "\u3000\u3000 ", "\r\n", ""]
+    texts = ["".join(rng.choice(gaps[:6]) * rng.randint(0, 1) + rng.choice(parts) + rng.choice(gaps[: rng.choice([5, 19])]) for _ in range(rng.randint(0, 10))) for _ in range(4000)]
+    coder = sstable.encoder(BYTES, 0)
+    for limit in (10**9, 3000):
+        monkeypatch.setattr(common, "WORD_BYTES", limit)
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            want = [library.encode(t, add_special_tokens=False).ids for t in some]
+            assert [b"".join(i.to_bytes(2, "little") for i in [*ids, 0]) for ids in want] == coder.encode(some)
+            assert merge_counts.count_texts(BYTES, some) == [*map(len, want)]
+    coder.encode(["z" * 20_000 + str(i) for i in range(20)])
+    assert sum(map(len, coder.words)) < 10**5
+
+
 def test_merging_of_runs():
     from tokenizers import Tokenizer
 
