@@ -519,14 +519,3 @@ def test_toxicity(spark, empty):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
     assert toxicity.toxicity_scores(empty, labels).count() == 0
     assert toxicity.toxicity_scores(docs, labels.limit(0)).count() == len(rows)
-
-
-def test_grammar_tapes():
-    grammar = toxicity.Grammar({"idiot": 2.0})
-    tape = dict(zip(toxicity.TAPES, range(5)))
-    assert grammar.clause_tapes("an idiot came")[tape["plain"]] == 2.0
-    assert grammar.clause_tapes("you are an idiot")[tape["aimed"]] == 2.0
-    assert grammar.clause_tapes("she is not an idiot")[tape["negated"]] == 2.0
-    assert grammar.clause_tapes("the paper said that a certain very odd idiot came")[tape["reported"]] == 2.0
-    assert grammar.clause_tapes("i will kill you")[tape["threat"]] == 1.0
-    assert grammar.clause_tapes("kill the process")[tape["threat"]] == 0.0
