@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from explainkit.plans.storage import persist_table
+from explainkit.plans.storage import drop_path, persist_path
 
 
 def symmetric_edges(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -29,10 +29,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is two aggregations with map-side
     minima and two equi-joins, and the edge table only shrinks towards stars, so a component of any
-    size is spread over all tasks. Each round is written to the shared folder, so lineage stays flat.
+    size is spread over all tasks. Each round is written to the shared folder, so lineage stays flat, and the
+    round before it is dropped.
     Null ends and self loops are dropped; an empty edge table gives an empty result.
     """
-    work = persist_table(
+    spark = edges.sparkSession
+    work, place = persist_path(
         edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .where("src is not null and dst is not null and src <> dst")
         .distinct(),
@@ -55,7 +57,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("src <> dst")
             .distinct()
         )
-        work = persist_table(small, "edges")
+        before, (work, place) = place, persist_path(small, "edges")
+        drop_path(spark, before)
         now = _signature(work)
         if now == seen:
             break

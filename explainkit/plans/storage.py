@@ -15,13 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured (tests, local mode)."""
+    """The cluster's shared folder, as a full URI.
+
+    A folder of our own is used where none is configured and driver and executors are one process (tests,
+    local mode); anywhere else that would scatter tables over the machines' own disks, so it is refused.
+    """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="explainkit-")
         import atexit
@@ -30,17 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Spark resolves it; readers and writers outside the JVM then reach the same place."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; concurrent runs never meet."""
-    return f"{shared_dir(spark)}/explainkit/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; concurrent runs never meet. :func:`clean_up` deletes it."""
+    path = f"{shared_dir(spark)}/explainkit/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return it reread, with its lineage cut."""
+    return persist_path(df, name)[0]
+
+
+def persist_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`persist_table`, and where the table is, for callers that drop it when it is done."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -48,3 +70,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote and that are still there; their number. Results read lazily
+    from them must have been consumed or written elsewhere."""
+    paths = list(_written)
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
