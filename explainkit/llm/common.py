@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import compress
 from typing import ClassVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows handled at once inside a task.
@@ -31,10 +31,13 @@ BATCH_BYTES = 4 * 1024 * 1024
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with batches to Python bounded in bytes, so that long texts never meet thousands of others in one batch."""
+    """``df``, with batches to Python bounded in bytes, so that long texts never meet thousands of others in one batch.
+
+    The bound is a setting of the session; it is lowered for the session unless the user has set it.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if int(conf.get(key, "67108864").rstrip("b")) > BATCH_BYTES:
+    if conf.get(key, None) is None:
         conf.set(key, str(BATCH_BYTES))
     return df
 
@@ -68,6 +71,23 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have (Spark compares them without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def crc_mod(doc_id: int | None, n: int) -> int:
     """crc32 of the id's decimal text, modulo n; a null id counts as the text ``null``."""
     return zlib.crc32(b"null" if doc_id is None else str(doc_id).encode()) % n

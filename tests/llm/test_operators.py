@@ -238,7 +238,7 @@ def test_simhash_components(docs, rows, empty, repeated):
 
 @pytest.mark.parametrize("part", [4, 64, 8192])
 def test_simhash_links_of_dense_groups(spark, part):
-    """Chains of near fingerprints and one dense group, with buckets split into parts or not."""
+    """Chains of near fingerprints and one dense group, with cells split by bits and into parts or not."""
     rng = random.Random(11)
     fps = {rng.getrandbits(64) for _ in range(200)}
     at = rng.getrandbits(64)
@@ -256,12 +256,28 @@ def test_simhash_links_of_dense_groups(spark, part):
     assert len(edges) < 40 * len(fps)
 
 
-def test_block_choices_are_exact():
-    for blocks, agree in ((6, 2), (7, 3), (8, 4)):
-        masks, rng = simhash._masks(blocks, agree), random.Random(2)
-        for _ in range(300):
-            d = sum(1 << b for b in rng.sample(range(64), 4))
-            assert any(m & d == 0 for m in masks)
+def test_cells_are_exact():
+    """Any two fingerprints within the radius agree on enough groups of block counts, and pass all references."""
+    rng = random.Random(2)
+    counts = lambda x: [(x & b).bit_count() for b in simhash.BLOCKS]
+    for groups, agree in ((6, 2), (8, 4)):
+        parts = simhash._cut(len(simhash.BLOCKS), groups)
+        for _ in range(500):
+            x = rng.getrandbits(64)
+            y = x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+            a, b = counts(x), counts(y)
+            assert sum(all(a[i] == b[i] for i in part) for part in parts) >= agree
+            assert all(abs((x ^ int(p)).bit_count() - (y ^ int(p)).bit_count()) <= 4 for p in simhash.PIVOTS)
+
+
+def test_references_discard_most_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    table = simhash._distances(fps)
+    near = (np.abs(table[:, :, None] - table[:, None, :]) <= simhash.RADIUS).all(axis=0)
+    assert (near.sum() - len(fps)) / 2 < 0.002 * len(fps) ** 2 / 2
 
 
 def shingle_set(text, k=5):
