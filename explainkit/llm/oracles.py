@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from explainkit.llm.quality import GAMMA, MIN_GROUP, RATIOS, REACH, SMALLEST
+from explainkit.llm.quality import GAMMA, PRIOR, RATIOS, REACH, SMALLEST
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -22,8 +22,8 @@ _RATIO = {k: f"CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE 0 END" for k, (a, b
 _ROWS = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {v} AS x FROM stats" for k, v in _RATIO.items())
 _SPREAD = "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in RATIOS.items()) + " END"
 _CUTS = ", ".join(f"max(cut) FILTER (ratio = '{k}') AS {k}_cut" for k in RATIOS)
-_PICK = ", ".join(f"CASE WHEN a.docs >= {MIN_GROUP} THEN a.{k}_cut WHEN b.docs >= {MIN_GROUP} THEN b.{k}_cut ELSE c.{k}_cut END AS {k}_cut" for k in RATIOS)
-_WITHIN = " AND ".join(f"{v} <= {k}_cut" for k, v in _RATIO.items())
+_PICK = ", ".join(f"(a.docs * a.{k}_cut + {PRIOR} * ((b.docs * b.{k}_cut + {PRIOR} * c.{k}_cut) / (b.docs + {PRIOR}))) / (a.docs + {PRIOR}) AS {k}_cut" for k in RATIOS)
+_WITHIN = " AND ".join(f"round({v}, 12) <= round({k}_cut, 12)" for k, v in _RATIO.items())
 
 QUALITY = rf"""WITH base AS (SELECT doc_id, lang, source, text, {_WORDS.format("coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
     win AS (SELECT doc_id, i, w[i:i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),

@@ -3,9 +3,10 @@
 Each document gets exact counts; four ratios of them feed mergeable quantile sketches with logarithmic
 buckets (1 % relative error), one per language and source. A sketch is a table of bucket counts, so
 merging is addition: partial sums are formed before any shuffle, a hot source costs no more than a rare
-one, and the result doesn't depend on order. A group's cutoff is its median plus some times its lower
-spread; groups too small to tell use the sketch of their language, then of all. Joining the cutoffs back
-gives the verdicts.
+one, and the result doesn't depend on order. A sketch's cutoff is its median plus some times its lower
+spread. A group's cutoff is drawn towards that of its language, and a language's towards that of all, as if
+``PRIOR`` documents of the wider sketch belonged to the narrower one; so small groups lean on wider ones,
+large ones on themselves, without a jump. Joining the cutoffs back gives the verdicts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from explainkit.llm.common import SLICE, small_batches
+from explainkit.llm.common import SLICE, own_columns, small_batches
 from explainkit.plans.storage import persist_table
 
 #: Fixed values of the contract: white space between words, and the symbols counted.
@@ -27,7 +28,7 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Least spread of each ratio (as parts of one); a cutoff is the median + REACH * max(spread, lower half's spread).
 RATIOS = {"symbol_ratio": 0.01, "upper_ratio": 0.012, "dup_line_ratio": 0.06, "repeat_ratio": 0.05}
-REACH, MIN_GROUP = 6.0, 200
+REACH, PRIOR = 6.0, 200
 GAMMA, SMALLEST = 1.02, 1e-4
 
 
@@ -42,13 +43,12 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def upper_letters(text: str) -> int:
-    """Characters that change in lower case; only A-Z where lower case changes the length."""
+    """Characters that change in lower case."""
     low = text.lower()
-    if len(low) == len(text):
-        a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (text, low))
-        return int((a != b).sum())
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    return int(((raw >= 65) & (raw <= 90)).sum())
+    if len(low) != len(text):  # some character's lower case is longer, so each is asked for itself
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (text, low))
+    return int((a != b).sum())
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -133,36 +133,37 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
 
 
 def group_cutoffs(sketch: DataFrame) -> DataFrame:
-    """The cutoffs that hold for each language and source: the finest level with enough documents."""
+    """The cutoffs that hold for each language and source, drawn towards those of the wider groups."""
     cuts = [f"{k}_cut" for k in RATIOS]
     found = cutoffs(sketch)
     pick = lambda n, tag: found.where(F.col("level") == n).select("lang", "source", F.col("docs").alias(f"docs{tag}"), *[F.col(c).alias(f"{c}{tag}") for c in cuts])
     fine, lang, world = pick(0, 0), pick(1, 1).drop("source").withColumnRenamed("lang", "lang1"), pick(2, 2).drop("lang", "source")
     joined = fine.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(world, F.lit(True), "left")
-    return joined.select(
-        F.col("lang").alias("cut_lang"),
-        F.col("source").alias("cut_source"),
-        *[F.when(F.col("docs0") >= MIN_GROUP, F.col(f"{c}0")).when(F.col("docs1") >= MIN_GROUP, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in cuts],
-    )
+    drawn = lambda n, own, wider: (n * own + PRIOR * wider) / (n + PRIOR)
+    cut = lambda c: drawn(F.col("docs0"), F.col(f"{c}0"), drawn(F.col("docs1"), F.col(f"{c}1"), F.col(f"{c}2")))
+    return joined.select(F.col("lang").alias("cut_lang"), F.col("source").alias("cut_source"), *[cut(c).alias(c) for c in cuts])
 
 
 def judge(stats: DataFrame, cuts: DataFrame, prefix: str = "") -> DataFrame:
-    """``stats`` with ``<prefix>base_failed`` and ``<prefix>kept``."""
+    """``stats`` with ``<prefix>base_failed`` and ``<prefix>kept``; no column of ``stats`` but the counts starts with a ``prefix``."""
     words, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
     failed = (words < 50) | (100 * repeats > 50 * words)
+    cuts = cuts.toDF(*[prefix + c for c in cuts.columns])
     within = F.lit(True)
     for name, ratio in _ratios(prefix).items():
-        within = within & (ratio <= F.col(f"{name}_cut"))
-    joined = stats.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source")), "left")
+        within = within & (F.round(ratio, 12) <= F.round(f"{prefix}{name}_cut", 12))
+    joined = stats.join(cuts, F.col("lang").cast("string").eqNullSafe(F.col(prefix + "cut_lang")) & F.col("source").cast("string").eqNullSafe(F.col(prefix + "cut_source")), "left")
     kept = ~failed & F.coalesce(within, F.lit(False))
-    return joined.select(*stats.columns, failed.alias(prefix + "base_failed"), kept.alias(prefix + "kept"))
+    return joined.select(*own_columns(stats), failed.alias(prefix + "base_failed"), kept.alias(prefix + "kept"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Counts and verdict of each document.
 
-    Null text counts as no words and fails the base rule; null languages or sources form groups of their
-    own; each row is answered, repeated rows too; extra columns don't matter; an empty table gives no rows.
+    Null, empty or wordless text counts as no words and fails the base rule; very long texts are counted whole;
+    null languages or sources form groups of their own; a ratio equal to its cutoff is kept; each row is
+    answered and counted in the sketches, repeated rows and null ids too; extra columns don't matter; an empty
+    table gives no rows.
     """
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     stats = persist_table(with_stats(need).drop("text"), "quality")
@@ -171,8 +172,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. The counts are taken twice, so that no text is shuffled."""
+    """The rows of ``docs`` that the rules keep, with all their columns. The counts are taken twice, so that no text is shuffled.
+
+    Odd rows count as in :func:`quality_verdicts`: null, empty and wordless texts go, repeated rows and null ids
+    are judged one by one. Columns of any name pass through; an empty table gives no rows.
+    """
     mark = "_quality_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
     need = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     cuts = group_cutoffs(persist_table(sketches(with_stats(need).drop("text")), "sketches"))
-    return judge(with_stats(docs, mark), cuts, mark).where(F.col(mark + "kept")).select(*docs.columns)
+    return judge(with_stats(docs, mark), cuts, mark).where(F.col(mark + "kept")).select(*own_columns(docs))
