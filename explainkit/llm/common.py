@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,6 +12,7 @@ from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows handled at once inside a task.
 SLICE = 256
@@ -19,8 +22,10 @@ MEMO_CHARS = 12_000_000
 #: The Unicode White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _CUT = re.compile(f"(?= [^{WHITE}])")
+_BLANKS = frozenset(WHITE)
 #: Stands before a word at a text's start or behind a line break.
 LINE = "\x01"
+_BARE = frozenset({"", LINE})
 #: Bytes that a worker's memo of words may take, what an entry takes beside its characters, and characters of a
 #: word that is kept.
 WORD_BYTES, ENTRY, KEPT = 200_000_000, 200, 64
@@ -49,7 +54,6 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[list[list]], lis
     """
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -66,6 +70,20 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[list[list]], lis
     return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType) -> DataFrame:
+    """``mapInArrow`` by position, for tables whose columns have any names: ``run`` sees and gives columns in order."""
+    inside = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def numbered(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=inside.names)
+
+    plain = small_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(numbered, inside).toDF(*schema.names)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text``; extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,16 +143,33 @@ class Memo(dict):
             self.chars = 0
 
 
+def uncollected(f: Callable) -> Callable:
+    """``f`` without garbage collection meanwhile: its many short lists hold no cycles."""
+
+    @functools.wraps(f)
+    def run(*args):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 class Words(Memo):
     """A worker's values of words, for byte-level vocabularies whose pattern never joins a word with a space behind it.
 
     A text is cut before each space that a word follows, and on both sides of a line break between words: the
     pattern cuts there too, so the parts' tokens are the text's tokens. Keys are words without their leading
     space, line breaks, and ``LINE`` with a word that has no space before it. Texts with runs of white space are
-    cut by a pattern of their own, into parts kept in ``own``. ``learn`` gives the values of parts.
+    cut by a pattern of their own, into parts kept in ``own``. ``learn`` gives the values of new keys, and of
+    new parts of the other kind.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list]) -> None:
+    def __init__(self, learn: Callable[[list[str], list[str]], tuple[list, list]]) -> None:
         super().__init__()
         self.learn, self.own = learn, {}
 
@@ -142,39 +177,47 @@ class Words(Memo):
         super().clear()
         self.own.clear()
 
+    def _keep(self, target: dict, learned: dict) -> None:
+        if any(len(k) > KEPT for k in learned):
+            learned = {k: v for k, v in learned.items() if len(k) <= KEPT}
+        target.update(learned)
+        self.chars += 2 * sum(map(len, learned)) + ENTRY * len(learned)
+
+    @uncollected
     def values(self, texts: list[str]) -> list[list]:
         """The values of each text's parts, in order."""
         self.touch()
         if self.chars > WORD_BYTES:
             self.clear()
             self.chars = 0
-        get, plans, missing, odd = self.get, [], {}, {}
+        get, plans, missing = self.get, [], set()
         for text in texts:
-            keys = [] if not text or LINE in text else f"{LINE}{text}".replace("\n", f" \n {LINE}").split(" ")
-            found, gaps = [*map(get, keys)], ()
-            if None in found:
-                gaps = [*compress(range(len(found)), [v is None for v in found])]
-                new = [keys[i] for i in gaps]
-                if any(k in {"", LINE} or k[k[0] == LINE] in WHITE if k != "\n" else False for k in new):
-                    keys = []
-                else:
-                    missing.update(dict.fromkeys(new))
-            if text and not keys:
-                keys = _CUT.split(text)
-                odd.update((k, None) for k in keys if k and k not in self.own)
-                found, gaps = None, ()
-            plans.append((keys, found, gaps))
-        values = self.learn([k[1:] if k[0] == LINE else k if k == "\n" else " " + k for k in missing] + [*odd])
-        new, own = dict(zip(missing, values, strict=False)), dict(zip(odd, values[len(missing) :], strict=True))
-        out = []
-        for keys, found, gaps in plans:
-            if found is None:
-                found = [own[k] if k in own else self.own[k] for k in keys if k]
-            for i in gaps:
-                found[i] = new[keys[i]]
-            out.append(found)
-        for target, learned in ((self, new), (self.own, own)):
-            kept = {k: v for k, v in learned.items() if len(k) <= KEPT}
-            target.update(kept)
-            self.chars += 2 * sum(map(len, kept)) + ENTRY * len(kept)
+            keys = f"{LINE}{text}".replace("\n", f" \n {LINE}").split(" ") if text and LINE not in text else []
+            found = [*map(get, keys)]
+            gaps = [*compress(range(len(found)), [v is None for v in found])] if None in found else ()
+            new = [keys[i] for i in gaps]
+            missing.update(new)
+            plans.append((found, gaps, new))
+        # a run of white space shows as a key that is empty or starts with white space
+        bad = {k for k in missing if k in _BARE or k[k[0] == LINE] in _BLANKS and k != "\n"}
+        odd: dict[int, list[str]] = {}
+        for i, (text, plan) in enumerate(zip(texts, plans, strict=True)):
+            if text and (bad and not bad.isdisjoint(plan[2]) or LINE in text):
+                odd[i] = [k for k in _CUT.split(text) if k]
+        words = [*(missing - bad)]
+        parts = [*{k for keys in odd.values() for k in keys if k not in self.own}]
+        values, own = self.learn(words, parts)
+        new, own = dict(zip(words, values, strict=True)), dict(zip(parts, own, strict=True))
+        for i, (found, gaps, keys) in enumerate(plans):
+            if i not in odd:
+                for at, k in zip(gaps, keys, strict=True):
+                    found[at] = new[k]
+        out = [[own[k] if k in own else self.own[k] for k in odd[i]] if i in odd else plan[0] for i, plan in enumerate(plans)]
+        self._keep(self, new)
+        self._keep(self.own, own)
         return out
+
+
+def part_text(key: str) -> str:
+    """The part of a text that a key of :class:`Words` stands for."""
+    return key[1:] if key[0] == LINE else key if key == "\n" else " " + key

@@ -19,8 +19,9 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from explainkit.llm.common import SLICE, small_batches
+from explainkit.llm.common import SLICE, map_batches
 from explainkit.llm.shingles import shingle_hashes, word_hashes
 
 FUNCTIONS, THRESHOLD = 64, 0.8
@@ -147,7 +148,7 @@ def _search(docs: DataFrame, block: list[tuple], keep_clean: bool) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
 
-    return small_batches(docs).mapInArrow(run, docs.schema if keep_clean else "doc_id long, item_id long, n_shared long, n_item long")
+    return map_batches(docs, run, docs.schema if keep_clean else StructType.fromDDL("doc_id long, item_id long, n_shared long, n_item long"))
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

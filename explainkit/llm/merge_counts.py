@@ -14,7 +14,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from explainkit.llm.common import WHITE, Words, id_and_text, map_rows
+from explainkit.llm.common import WHITE, Words, id_and_text, map_rows, part_text
 
 _NONE = np.int64(2**62)
 #: Symbols laid out at once.
@@ -113,6 +113,11 @@ class RankMerger:
         return [sum(counts[i] for i in ids) for ids in lists]
 
 
+    def count_keys(self, keys: list[str], parts: list[str]) -> tuple[list[int], list[int]]:
+        counts = self.count_new([*map(part_text, keys), *parts])
+        return counts[: len(keys)], counts[len(keys) :]
+
+
 _state: dict[str, tuple] = {}
 
 
@@ -120,7 +125,7 @@ def count_texts(path: str, texts: list[str | None]) -> list[int]:
     """Token counts of whole texts; null counts as empty. Special strings inside count as one token."""
     if path not in _state:
         merger = RankMerger(path)
-        _state[path] = (merger, Words(merger.count_new))
+        _state[path] = (merger, Words(merger.count_keys))
     merger, words = _state[path]
     runs = [merger.special_split.split(t) if merger.special_split and any(s in t for s in merger.special) else [t] for t in (t or "" for t in texts)]
     counts = iter([sum(v) for v in words.values([r for some in runs for r in some])])

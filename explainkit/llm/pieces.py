@@ -16,7 +16,7 @@ from itertools import compress
 
 from pyspark.sql import DataFrame
 
-from explainkit.llm.common import Memo, id_and_text, map_rows
+from explainkit.llm.common import Memo, id_and_text, map_rows, uncollected
 
 SPACE = "▁"
 #: Stands before what follows a line break.
@@ -248,6 +248,7 @@ class Units(Memo):
         self.chars += load
         return found
 
+    @uncollected
     def ids(self, texts: list[str | None]) -> list[str]:
         """Each text's ids, written."""
         self.touch()

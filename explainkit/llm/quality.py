@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from explainkit.llm.common import SLICE, own_columns, small_batches
+from explainkit.llm.common import SLICE, map_batches, own_columns
 from explainkit.plans.storage import persist_table
 
 #: Fixed values of the contract: white space between words, and the symbols counted.
@@ -92,7 +92,7 @@ def with_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(r, pa.int64()) for r in rows)], names=[*part.schema.names, *names])
 
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
-    return small_batches(docs).mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _ratios(prefix: str = "") -> dict[str, Column]:

@@ -21,17 +21,16 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import LINE, WHITE, Words, id_and_text, small_batches
+from explainkit.llm.common import LINE, Words, id_and_text, small_batches
 from explainkit.plans.storage import fresh_path, persist_table
 
 MAGIC = b"EKST0001"
-_BLANK = re.compile(f"[{WHITE}]")
 _FOOTER = struct.Struct("<QQQQQQB8s")
 _INDEX = struct.Struct("<QQQQ")
 #: Raw bytes after which a data block is closed, entries between restarts, Bloom bits and probes a key.
@@ -248,45 +247,56 @@ class _Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def _cut(self, text: str, starts: Callable[[np.ndarray], np.ndarray], count: int, skip: int) -> list[bytes]:
-        """The ids of a text of ``count`` parts, cut where parts start."""
-        found = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-        at = starts(found)
-        if len(at) != count:
-            raise ValueError("the vocabulary joins a space or a line break to what stands before it")
-        raw, cuts = found.tobytes(), [*(at * self.width).tolist(), len(found) * self.width]
-        return [raw[a + skip * self.width : b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts. Words are encoded many at a time: a token that starts with a space can only begin a
-        spaced word, and a line break stands alone between two words. A mark behind a letter is a token by itself."""
-        spaced, plain, odd, stems = {}, {}, {}, {}
-        known = self.words.get
-        marked = lambda p: p[-1] in self.points and p[-2:-1].isalpha() and p[-2] < "\u0250"
-        for p in parts:
-            stem = p
-            if marked(p):
-                stem = p[:-1]
-                have = known(stem[1:]) if p[0] == " " else known(LINE + stem)
-                if have is not None:
-                    stems[p] = have
-                    continue
-            (spaced if stem[0] == " " and len(stem) > 1 and not _BLANK.search(stem, 1) else odd if _BLANK.search(stem) else plain)[stem] = None
-        for group, text, starts, skip in (
-            (spaced, "".join, lambda f: np.flatnonzero(self.leads[f]), 0),
-            (plain, lambda some: "\n" + "\n".join(some), lambda f: np.flatnonzero(f == self.breaks[0]), 1),
-        ):
-            keys = list(group)
-            if group is plain and len(self.breaks) != 1:
-                odd |= plain
+    def _several(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _together(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of words, many of them in one text: a token that starts with a space can only begin a spaced word,
+        and a line break stands alone between two others."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            text = " " + " ".join(some) if spaced else "\n" + "\n".join(some)
+            if text.split() != some or len(self.breaks) != 1:  # white space inside words
+                out += self._several([" " + w for w in some] if spaced else some)
                 continue
-            for at in range(0, len(keys), TOGETHER):
-                some = keys[at : at + TOGETHER]
-                group.update(zip(some, self._cut(text(some), starts, len(some), skip), strict=True))
-        if odd:
-            odd = dict(zip(odd, (self._bytes(e.ids) for e in self.model.encode_batch_fast(list(odd), add_special_tokens=False)), strict=True))
-        found = {**plain, **spaced, **odd}
-        return [(stems.get(p) or found[p[:-1]]) + self.points[p[-1]] if marked(p) else found[p] for p in parts]
+            found = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+            starts = np.flatnonzero(self.leads[found] if spaced else found == self.breaks[0])
+            if len(starts) != len(some):
+                raise ValueError("the vocabulary joins a space or a line break to what stands before it")
+            raw, cuts = found.tobytes(), (starts * self.width).tolist()
+            cuts.append(len(raw))
+            skip = 0 if spaced else self.width
+            out += [raw[a + skip : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _learn(self, keys: list[str], parts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of keys and parts of :class:`Words`. A mark behind a letter is a token by itself, so a word with a
+        mark needs the ids of its stem only."""
+        known, points = self.words.get, self.points
+        out: list = [b""] * len(keys)
+        asked: tuple = ([], [], []), ([], [], [])
+        for i, key in enumerate(keys):
+            mark = points.get(key[-1], b"")
+            if mark:
+                if key[-2:-1].isalpha() and key[-2] < "\u0250":
+                    stem = key[:-1]
+                    have = known(stem)
+                    if have is not None:
+                        out[i] = have + mark
+                        continue
+                    key = stem
+                else:
+                    mark = b""
+            at, words, marks = asked[key[0] != LINE and key != "\n"]
+            at.append(i)
+            words.append(key)
+            marks.append(mark)
+        for spaced, (at, words, marks) in enumerate(asked):
+            found = self._together(words, True) if spaced else self._together([w.removeprefix(LINE) for w in words], False)
+            for i, ids, mark in zip(at, found, marks, strict=True):
+                out[i] = ids + mark
+        return out, self._several(parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as bytes."""
