@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from explainkit.catalog import clustering, modelling, ranking, scans, texts
+from explainkit.catalog import clustering, files, graphs, modelling, ranking, scans, texts
 
 FLAGSHIP = "eval_itempop_item"
-_MODULES = (scans, ranking, clustering, texts, modelling)
+_MODULES = (scans, ranking, clustering, texts, modelling, files, graphs)
 
 
 def queries() -> dict:

@@ -198,8 +198,9 @@ def _(spark, d):
 
 @query("stmt_to_cluster", f"{COMPONENTS} SELECT component AS cluster_id, id AS statement_id FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) > 1)")
 def _(spark, d):
-    lists = components(spark, d)[0].groupBy(F.col("component").alias("cluster_id")).agg(F.array_sort(F.collect_list("id")).alias("member_indices"))
-    return lists.where(F.size("member_indices") > 1).select("cluster_id", F.explode("member_indices").alias("statement_id"))
+    every = components(spark, d)[0].select(F.col("component").alias("cluster_id"), F.col("id").alias("statement_id"))
+    large = every.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
+    return every.join(large, "cluster_id", "left_semi")
 
 
 @query(
@@ -215,7 +216,7 @@ def _(spark, d):
     return found.select("cluster_id", "id", F.col("near").cast("bigint").alias("near"), F.col("far").cast("bigint").alias("far"))
 
 
-@query("weighted_sample")
+@query("weighted_sample", f"{_REPS}, k AS (SELECT cluster_id, m, -ln((('0x' || substr(md5(cluster_id || ',0'), 1, 13))::BIGINT + 1) / (pow(2, 52) + 2)) / m AS key FROM reps WHERE m >= 3) SELECT cluster_id, m AS cluster_size FROM k ORDER BY key, cluster_id LIMIT 5")
 def _(spark, d):
     return clusters.sample_clusters(reps(spark, d).select("cluster_id", F.col("m").alias("cluster_size")), 5, 3)
 
@@ -241,7 +242,15 @@ def utterances(spark, d) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", "role")
 
 
-@query("minhash_groups")
+@query(
+    "minhash_groups",
+    """WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[\\s]+'), lambda x: x <> '') AS w FROM t),
+    s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS s FROM w WHERE len(w) >= 2), h AS (SELECT s, min(id) AS id FROM s GROUP BY s), e AS (SELECT id, unnest(s) AS x FROM h),
+    c AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+    near AS (SELECT a, b FROM c JOIN h x ON c.a = x.id JOIN h y ON c.b = y.id WHERE n / (len(x.s) + len(y.s) - n)::DOUBLE >= 0.9), sym AS (SELECT a AS src, b AS dst FROM near UNION SELECT b, a FROM near),
+    walk AS (SELECT id AS node, id AS low FROM h UNION SELECT y.dst, k.low FROM walk k JOIN sym y ON k.node = y.src WHERE k.low <= y.dst), g AS (SELECT node, min(low) AS low FROM walk GROUP BY node)
+    SELECT coalesce(g.low, t.id) AS group_id, t.id AS id FROM t LEFT JOIN s ON t.id = s.id LEFT JOIN h ON s.s = h.s LEFT JOIN g ON h.id = g.node""",
+)
 def _(spark, d):
     return lsh.minhash_groups(utterances(spark, d), 0.9)
 

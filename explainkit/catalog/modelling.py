@@ -72,16 +72,29 @@ def _(spark, d):
     return factors.exclude_seen(scored, t, "user_id", "item_id", 5).select("user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("neg_sample_anti")
+HASH52 = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+
+
+@query(
+    "neg_sample_anti",
+    f"""{DENSE}, pos AS (SELECT DISTINCT user_id, sid FROM each), dr AS (SELECT user_id, sid, t.range AS try, {HASH52.format("user_id || ',' || sid || ',' || t.range || ',0'")} % {STATEMENTS} AS negative FROM pos, range(1, 17) t),
+    fresh AS (SELECT * FROM dr WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = dr.user_id AND p.sid = dr.negative)), first AS (SELECT user_id, sid, arg_min(negative, try) AS negative FROM fresh GROUP BY 1, 2),
+    low AS (SELECT u.user_id, min(r.range) AS negative FROM (SELECT DISTINCT user_id FROM pos) u, range({STATEMENTS}) r WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = u.user_id AND p.sid = r.range) GROUP BY 1)
+    SELECT user_id, sid, negative FROM first UNION ALL SELECT p.user_id, p.sid, low.negative FROM pos p LEFT JOIN low USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.user_id = p.user_id AND f.sid = p.sid)""",
+)
 def _(spark, d):
     pos = train(spark, d).select("user_id", F.explode("statement_ids").alias("sid"))
     return factors.negative_samples(pos, "user_id", "sid", STATEMENTS)
 
 
-@query("tag_neg_sampler")
+@query(
+    "tag_neg_sampler",
+    f"""{DENSE}, k AS (SELECT interaction_id, statement_ids, list_filter(list_transform(range(0, 40), lambda j: {HASH52.format("interaction_id || ',' || j || ',0'")} % {STATEMENTS}), lambda x: NOT list_contains(statement_ids, x))[1:20] AS kept FROM train)
+    SELECT interaction_id, array_to_string(list_concat(kept, list_filter(range(0, {STATEMENTS}), lambda x: NOT list_contains(statement_ids, x))[1:20 - len(kept)]), ',') AS negatives FROM k""",
+)
 def _(spark, d):
     t = train(spark, d)
-    drawn = factors.tag_negatives(F.col("interaction_id"), F.col("statement_ids"), F.lit(20), F.lit(STATEMENTS))
+    drawn = factors.tag_negatives(F.col("interaction_id"), F.col("statement_ids"), 20, STATEMENTS)
     return t.select("interaction_id", F.array_join(drawn, ",").alias("negatives"))
 
 
@@ -115,7 +128,7 @@ def _(spark, d):
 
 def _factors(spark, d, alpha: float) -> DataFrame:
     """The best statements of every user by factors trained on all training interactions."""
-    users, statements = factors.user_factors(train(spark, d), STATEMENTS, dim=8, rate=0.05, epochs=2, alpha=alpha)
+    users, statements, _ = factors.user_factors(train(spark, d), STATEMENTS, dim=8, rate=0.05, epochs=2, alpha=alpha)
     return factors.best_statements(users, statements, 10)
 
 
@@ -141,11 +154,7 @@ def _(spark, d):
 
 @query("llm_verify")
 def _(spark, d):
-    class Echo:
-        def generate(self, prompts):
-            return [p.removeprefix("Input JSON:\n").removesuffix("\nOutput:") for p in prompts]
-
-    found = models.verify_statements(models.extract_statements(asked(spark, d), models.SentenceExtractor()), Echo())
+    found = models.verify_statements(models.extract_statements(asked(spark, d), models.SentenceExtractor()), models.RuleVerifier())
     return found.select("row_id", F.size("cleaned.statements").alias("n"))
 
 

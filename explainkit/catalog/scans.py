@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from explainkit.functions.json_text import parse_int_list
 from explainkit.operators import dictionary, splits
 from explainkit.operators.popularity import statement_sets, valid_ids
-from explainkit.plans.adapters import REVIEWS_SQL, SPLITS_SQL, STATEMENTS, interactions, interactions_sql, read, reviews, vectors
+from explainkit.plans.adapters import REVIEWS_SQL, SPLITS_SQL, STATEMENTS, VECTORS_SQL, interactions, interactions_sql, read, reviews, vectors
 from explainkit.plans.storage import persist_table
 from explainkit.sources import atomic
 from explainkit.sources import reviews as files
@@ -85,7 +85,7 @@ def _(spark, d):
     return files.renamed(raw)
 
 
-@query("src_jsonl")
+@query("src_jsonl", f"WITH {REVIEWS_SQL} SELECT row_id::DOUBLE AS rating, row_id AS timestamp, review, sentiment AS user_name, row_id::VARCHAR AS user_id, row_id::VARCHAR AS item_id, substr(review, 1, 20) AS review_title FROM reviews")
 def _(spark, d):
     """Reviews written as JSON lines and read back through the explicit schema."""
     from explainkit.plans.storage import fresh_path
@@ -282,7 +282,11 @@ def _(spark, d):
     return each("user_id").union(each("item_id")).distinct()
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    f"""WITH {VECTORS_SQL}, w AS (SELECT grp, greatest(1, round(60.0::DOUBLE * count(*) / (SELECT count(*) FROM vectors)))::BIGINT AS want FROM vectors GROUP BY grp),
+    r AS (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY ('0x' || substr(md5(id::VARCHAR), 1, 13))::BIGINT, id) AS place FROM vectors) SELECT id, r.grp AS grp FROM r JOIN w ON r.grp = w.grp WHERE place <= want""",
+)
 def _(spark, d):
     from explainkit.operators.clusters import stratified_sample
 

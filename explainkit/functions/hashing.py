@@ -36,3 +36,9 @@ def stable_hash64(c: Column, seed: int = 0) -> Column:
 def unsigned_order(c: Column) -> Column:
     """A long that sorts as the unsigned value does."""
     return c.bitwiseXOR(F.lit(-(2**63)))
+
+
+def hash52(*parts: Column | str | int) -> Column:
+    """52 bits of the md5 of the parts' texts joined by commas: draws that any SQL engine can repeat."""
+    columns = [F.lit(x) if isinstance(x, int) else x for x in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *columns).cast("binary")), 1, 13), 16, 10).cast("bigint")

@@ -56,6 +56,24 @@ class SentenceExtractor:
         return out
 
 
+class RuleVerifier:
+    """Stand-in verifier: brings statements to lower case, drops those of fewer than four words and repeats, and (like a
+    model at times) breaks off its answer for prompts whose length is a multiple of 17."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            payload = json.loads(p.removeprefix("Input JSON:\n").removesuffix("\nOutput:"))
+            kept: dict[str, dict] = {}
+            for s in payload.get("statements", []):
+                words = str(s.get("statement", "")).lower().split()
+                if len(words) >= 4:
+                    kept.setdefault(" ".join(words), {"statement": " ".join(words), "sentiment": s.get("sentiment")})
+            answer = json.dumps({"statements": [*kept.values()]})
+            out.append(answer[: len(answer) // 2] if len(p) % 17 == 0 else "Here it is: " + answer)
+        return out
+
+
 class HashedEncoder:
     """Stand-in: hashed words and word pairs, normalised."""
 

@@ -23,6 +23,10 @@ NUMBER_WORDS = {
 DIGITS = r"(?U)\b\d+(?:[.,]\d+)?\b"
 TRAILING_DOTS = r"[.!?]+$"
 TRAILING_FILLER = r"(?iU)\b(?:overall|anyway)\b$"
+# Word endings and words by which a plain tagger tells adjectives and function words; other words count as nouns.
+ADJECTIVE_ENDINGS = r"(?:able|ible|al|ful|ic|ish|ive|less|ous|y)$"
+ADJECTIVES = ["bad", "best", "better", "big", "easy", "fast", "fine", "good", "great", "hard", "high", "large", "light", "long", "low", "new", "nice", "old", "poor", "short", "small", "soft", "strong", "thick", "thin", "worst"]
+FUNCTION_WORDS = ["a", "am", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "if", "in", "is", "it", "its", "just", "no", "not", "of", "on", "or", "she", "so", "than", "that", "the", "their", "them", "then", "there", "they", "this", "to", "too", "very", "was", "were", "what", "when", "which", "will", "with", "would", "you", "your"]
 SUBJECT_WORDS = ["i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves"]
 
 
@@ -49,20 +53,25 @@ def leading_subject(c: Column, subject: str = "the product") -> Column:
     return F.regexp_replace(c, LEADING_SUBJECT, subject + " ")
 
 
+def replace_each(c: Column, pattern: str, name) -> Column:
+    """``c`` with ``name(match)`` in place of every match. Split keeps what lies between the matches, so one array pass does it."""
+    between = F.split(c, pattern)
+    found = F.regexp_extract_all(c, F.lit("(" + pattern + ")"), F.lit(1))
+    return F.concat_ws("", F.flatten(F.zip_with(between, F.transform(found, name), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+
+
 def number_words(c: Column) -> Column:
-    """Number words as digits: one pass for each word, on whole words only."""
-    for word, digits in NUMBER_WORDS.items():
-        c = F.regexp_replace(c, rf"(?iU)\b{word}\b", digits)
-    return c
+    """Number words as digits, whole words only, in one pass."""
+    digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    pattern = r"(?iU)\b(?:" + "|".join(NUMBER_WORDS) + r")\b"
+    return F.when(F.rlike(c, F.lit(pattern)), replace_each(c, pattern, lambda x: F.element_at(digits, F.lower(x)))).otherwise(c)
 
 
 def number_bucket(c: Column) -> Column:
-    """Numbers replaced by the name of their range. Split keeps what lies between the numbers, so one array pass does it."""
-    between = F.split(c, DIGITS)
-    numbers = F.regexp_extract_all(c, F.lit("(" + DIGITS + ")"), F.lit(1))
-    value = lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")
-    name = lambda x: F.when(value(x) <= 1, "<n1>").when(value(x) <= 2, "<n2>").when(value(x) <= 5, "<n3_5>").when(value(x) <= 10, "<n6_10>").otherwise("<n10p>")
-    return F.concat_ws("", F.flatten(F.zip_with(between, F.transform(numbers, name), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    """Numbers replaced by the name of their range; a number that can't be read is ``<num>``."""
+    value = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
+    name = lambda x: F.when(value(x).isNull(), "<num>").when(value(x) <= 1, "<n1>").when(value(x) <= 2, "<n2>").when(value(x) <= 5, "<n3_5>").when(value(x) <= 10, "<n6_10>").otherwise("<n10p>")
+    return replace_each(c, DIGITS, name)
 
 
 def normalize_statement(c: Column, subject: str = "the product", numbers: str = "keep", min_chars: int = 8, min_tokens: int = 3, only_subject: bool = False, unescape: bool = True) -> Column:
@@ -123,6 +132,36 @@ def subject_count(c: Column) -> Column:
     return F.size(F.filter(words(F.lower(c)), lambda x: x.isin(SUBJECT_WORDS)))
 
 
+def word_kinds(c: Column) -> Column:
+    """The kind of each word: ``adj`` by list or ending, ``other`` for function and first-person words, else ``noun``.
+    A plain stand-in for a tagger; verbs count as nouns."""
+    bare = F.transform(words(F.lower(c)), lambda x: F.regexp_replace(x, r"[^a-z']", ""))
+    kind = lambda x: F.when((x == "") | x.isin(FUNCTION_WORDS + SUBJECT_WORDS), "other").when(x.isin(ADJECTIVES) | F.rlike(x, F.lit(ADJECTIVE_ENDINGS)), "adj").otherwise("noun")
+    return F.transform(bare, kind)
+
+
+def sentence_counts(c: Column) -> list[Column]:
+    """``word_num``, ``subj_num``, ``noun_num`` and ``adj_num`` of a sentence."""
+    of = lambda k: F.size(F.filter(word_kinds(c), lambda x: x == k))
+    return [F.size(words(F.lower(c))).alias("word_num"), subject_count(c).alias("subj_num"), of("noun").alias("noun_num"), of("adj").alias("adj_num")]
+
+
+def good_sentence() -> Column:
+    """Whether a row of :func:`sentence_counts` can be an explanation: two words, no first person, a noun and an adjective."""
+    return (F.col("word_num") >= 2) & (F.col("subj_num") == 0) & (F.col("noun_num") >= 1) & (F.col("adj_num") >= 1)
+
+
+def sentiment_code(c: Column) -> Column:
+    """-1, 0 or 1 of a sentiment's name; null for others."""
+    name = F.lower(strip(c))
+    return F.when(name == "negative", -1).when(name == "neutral", 0).when(name == "positive", 1)
+
+
+def sentiment_name(c: Column) -> Column:
+    """The name of -1, 0 or 1; null for others."""
+    return F.when(c == -1, "negative").when(c == 0, "neutral").when(c == 1, "positive")
+
+
 def is_missing(c: Column) -> Column:
     """Null, or nothing but white space."""
     return c.isNull() | (strip(c) == "")

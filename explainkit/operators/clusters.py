@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from explainkit.functions.hashing import hash52
 from explainkit.functions.vectors import distance, dot
 
 
@@ -39,41 +40,103 @@ def mean_similarity(members: DataFrame, cluster: str = "cluster_id", diagonal: b
     return s.select(cluster, "m", value.alias("mean_sim"))
 
 
-def _pairs(members: DataFrame, cluster: str) -> DataFrame:
-    a = members.select(cluster, F.col("id").alias("i"), F.col("embedding").alias("x"))
-    b = members.select(cluster, F.col("id").alias("j"), F.col("embedding").alias("y"))
-    return a.join(b, cluster).where("i < j").select(cluster, "i", "j", dot(F.col("x"), F.col("y")).alias("sim"))
+def lowest_similarity(members: DataFrame, cluster: str = "cluster_id", block: int = 1024) -> DataFrame:
+    """``(cluster, low)``: the least similarity of two members; no row for singletons.
+
+    A cluster is dealt to blocks; a pair of blocks is a task and answers one number, so a cluster of any size is spread.
+    """
+    sizes = members.groupBy(cluster).agg(F.count("*").alias("_m")).where("_m > 1").select(cluster, F.ceil(F.col("_m") / block).alias("_parts"))
+    dealt = members.join(sizes, cluster).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_other")
+    rows = dealt.select(F.col(cluster).alias("c"), F.col("embedding").cast("array<double>").alias("v"), "_own", other).select("c", "v", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"))
+
+    def least(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        v, low = np.stack(pdf["v"].to_numpy()), np.inf
+        for at in range(0, len(v), 512):
+            sims = v[at : at + 512] @ v.T
+            sims[np.arange(len(sims)), at + np.arange(len(sims))] = np.inf
+            low = min(low, float(sims.min()))
+        return pd.DataFrame({"c": [key[0]], "low": [low]})
+
+    kind = dict(members.dtypes)[cluster]
+    return rows.groupBy("c", "a", "b").applyInPandas(least, f"c {kind}, low double").groupBy(F.col("c").alias(cluster)).agg(F.round(F.min("low"), 12).alias("low")).where("low < double('infinity')")
 
 
 def cohesion(members: DataFrame, tau: float, cluster: str = "cluster_id") -> DataFrame:
     """``(cluster, cohesive)``: whether all pairs reach ``tau``; singletons do."""
-    low = _pairs(members, cluster).groupBy(cluster).agg(F.min("sim").alias("low"))
-    return members.select(cluster).distinct().join(low, cluster, "left").select(cluster, F.coalesce(F.col("low") >= tau, F.lit(True)).alias("cohesive"))
+    return members.select(cluster).distinct().join(lowest_similarity(members, cluster), cluster, "left").select(cluster, F.coalesce(F.col("low") >= tau, F.lit(True)).alias("cohesive"))
+
+
+def second_moments(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """``(cluster, m, own, s2, f2)``: size, the sum of (1 - |x|^2)^2, the squared length of the sum vector and the
+    squared Frobenius norm of the second-moment matrix. Matrices are added up in each batch before they meet."""
+    kind = dict(members.dtypes)[cluster]
+
+    def partial(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for name, part in pdf.groupby("c", sort=False):
+                x = np.stack(part["v"].to_numpy())
+                own = float(((1 - (x * x).sum(axis=1)) ** 2).sum())
+                out.append((name, len(x), own, x.sum(axis=0), (x.T @ x).ravel()))
+            if out:
+                yield pd.DataFrame(out, columns=["c", "m", "own", "s", "f"])
+
+    rows = members.select(F.col(cluster).alias("c"), F.col("embedding").cast("array<double>").alias("v"))
+    parts = rows.mapInPandas(partial, f"c {kind}, m long, own double, s array<double>, f array<double>")
+    sizes = parts.groupBy("c").agg(F.sum("m").alias("m"), F.sum("own").alias("own"))
+    squared = lambda column, name: parts.select("c", F.posexplode(column).alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x")).groupBy("c").agg(F.sum(F.col("x") * F.col("x")).alias(name))
+    return sizes.join(squared("s", "s2"), "c").join(squared("f", "f2"), "c").select(F.col("c").alias(cluster), "m", "own", "s2", "f2")
 
 
 def sse(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """``(total, mean)``: within-cluster squared distances over twice the size; singletons count as clusters with zero."""
-    size = members.groupBy(cluster).agg(F.count("*").alias("m"))
-    d = distance(F.col("sim"))
-    inner = _pairs(members, cluster).groupBy(cluster).agg((2 * F.sum(d * d)).alias("dd"))
-    each = size.join(inner, cluster, "left").select((F.coalesce("dd", F.lit(0.0)) / (2 * F.col("m"))).alias("e"))
+    """``(total, mean)`` of unit vectors: within-cluster squared distances over twice the size; singletons count as clusters
+    with zero. All pairs' (1 - x y)^2 follow from the size, the sum vector and the second moments, without any pair."""
+    pairs = F.col("m") * F.col("m") - 2 * F.col("s2") + F.col("f2") - F.col("own")
+    each = second_moments(members, cluster).select((F.greatest(pairs, F.lit(0.0)) / (2 * F.col("m"))).alias("e"))
     return each.agg(F.sum("e").alias("total"), F.avg("e").alias("mean"))
 
 
 def ssb(reps: DataFrame, points: int, weighted: bool = True) -> DataFrame:
-    """Between-cluster squared distances of ``reps (cluster_id, m, embedding)``; each column weighs its share of the points."""
-    a = reps.select(F.col("embedding").alias("x"))
-    b = reps.select(F.col("embedding").alias("y"), "m")
-    d = distance(dot(F.col("x"), F.col("y")))
+    """Between-cluster squared distances of unit ``reps (cluster_id, m, embedding)``; each column weighs its share of the
+    points. One pass with the representatives' sum vector and second moments (as many numbers as dimensions squared)."""
+    import numpy as np
+    import pandas as pd
+
+    rows = reps.select("m", F.col("embedding").cast("array<double>").alias("v"))
+
+    def partial(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                yield pd.DataFrame({"k": [len(x)], "s": [x.sum(axis=0)], "f": [(x.T @ x).ravel()]})
+
+    held = rows.mapInPandas(partial, "k long, s array<double>, f array<double>")
+    total = lambda c: np.array([r["x"] for r in held.select(F.posexplode(c).alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).orderBy("d").collect()])
+    s, f, k = total("s"), total("f"), held.agg(F.sum("k")).first()[0] or 0
+    if not k:
+        return reps.sparkSession.createDataFrame([(None,)], "ssb double")
+
+    def column(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                yield pd.DataFrame({"dd": k - 2 * (x @ s) + ((x @ f.reshape(len(s), len(s))) * x).sum(axis=1), "m": pdf["m"]})
+
     weight = F.col("m") / F.lit(float(points)) if weighted else F.lit(1.0)
-    k = reps.count()  # representatives, not points
-    return a.crossJoin(b).agg((F.sum(d * d * weight) / (2.0 * max(k, 1))).alias("ssb"))
+    return rows.mapInPandas(column, "dd double, m long").agg((F.sum(F.col("dd") * weight) / (2.0 * k)).alias("ssb"))
 
 
 def diameters(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """``(cluster, diameter)``: largest distance inside; singletons zero."""
-    far = _pairs(members, cluster).groupBy(cluster).agg(F.max(distance(F.col("sim"))).alias("d"))
-    return members.select(cluster).distinct().join(far, cluster, "left").select(cluster, F.coalesce("d", F.lit(0.0)).alias("diameter"))
+    far = lowest_similarity(members, cluster)
+    return members.select(cluster).distinct().join(far, cluster, "left").select(cluster, F.coalesce(distance(F.col("low")), F.lit(0.0)).alias("diameter"))
 
 
 def intercluster_min(members: DataFrame, cluster: str = "cluster_id", block: int = 2048) -> DataFrame:
@@ -164,7 +227,7 @@ def refine_one(vectors: dict, pairs: list[tuple[int, int]], intra: float, merge:
 
 def sample_clusters(clusters: DataFrame, n: int, min_size: int, seed: int = 0) -> DataFrame:
     """``n`` clusters without replacement, by size: exponential keys from a seeded hash, the smallest win."""
-    u = (F.pmod(F.xxhash64(F.col("cluster_id"), F.lit(seed)), F.lit(2**31)) + 1) / F.lit(2.0**31 + 2)
+    u = (hash52("cluster_id", seed) + 1) / F.lit(2.0**52 + 2)
     return clusters.where(F.col("cluster_size") >= min_size).orderBy(-F.log(u) / F.col("cluster_size"), "cluster_id").limit(n)
 
 
@@ -172,5 +235,5 @@ def stratified_sample(df: DataFrame, stratum: str, order: str, total: int) -> Da
     """About ``total`` rows, each stratum by its share (at least one row), first by hash of ``order``."""
     n = df.count()
     size = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.round(F.lit(float(total)) * F.count("*") / F.lit(float(max(n, 1)))).cast("long")).alias("_want"))
-    at = F.row_number().over(W.partitionBy(stratum).orderBy(F.crc32(F.col(order).cast("string").cast("binary")), order))
+    at = F.row_number().over(W.partitionBy(stratum).orderBy(hash52(order), order))
     return df.withColumn("_at", at).join(size, stratum).where("_at <= _want").drop("_at", "_want")

@@ -23,6 +23,19 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     return numbered.withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_part", "_before", "_inside")
 
 
+def running_totals(df: DataFrame, order: list[str], **values: str) -> DataFrame:
+    """``df`` with the totals of ``values`` (new name: column) over all rows up to and including each, in a global
+    order, without one task that holds all: partitions are ranges, and their sums a small table (a row a partition).
+    Rows equal in ``order`` are told apart by their place, so ``order`` should be unique."""
+    placed = persist_table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    sums = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in values.items()])
+    upto = W.orderBy("_part")
+    before = sums.select("_part", *[(F.sum(f"_{n}").over(upto) - F.col(f"_{n}")).alias(f"_{n}") for n in values])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    each = placed.withColumns({n: F.sum(c).over(inside) for n, c in values.items()}).join(before, "_part")
+    return each.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop("_part", *[f"_{n}" for n in values])
+
+
 def id_map_first_seen(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """``(key, idx)`` in the order in which keys first appear."""
     return dense_ids(df.groupBy(key).agg(F.min(row_id).alias("_first")), ["_first", key], "idx").select(key, "idx")

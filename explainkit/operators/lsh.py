@@ -15,7 +15,8 @@ from explainkit.plans.storage import persist_table
 def minhash(shingles: DataFrame, permutations: int) -> DataFrame:
     """``(id, sig)``: for each seed the least hash of the shingles; texts without shingles have none."""
     seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
-    sig = let(F.col("shingles"), lambda own: F.transform(seeds, lambda seed: F.array_min(F.transform(own, lambda s: F.xxhash64(s, seed)))))
+    # a shingle's text is hashed once, its number once for each seed
+    sig = let(F.transform("shingles", lambda s: F.xxhash64(s)), lambda own: F.transform(seeds, lambda seed: F.array_min(F.transform(own, lambda h: F.xxhash64(h, seed)))))
     return shingles.where(F.size("shingles") > 0).select("id", "shingles", sig.alias("sig"))
 
 

@@ -6,10 +6,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from explainkit.operators.dictionary import running_totals
+
 
 def paired(a: DataFrame, b: DataFrame, key: list[str], metric: str) -> DataFrame:
     """``(key..., a, b, diff)`` of the samples that both methods have."""
@@ -23,7 +24,8 @@ def paired_stats(pairs: DataFrame, min_pairs: int = 5) -> DataFrame:
     NaN below ``min_pairs`` pairs; d and t are NaN where the differences don't vary.
     """
     d = F.col("diff")
-    raw = pairs.agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("mean_diff"), F.median(d).alias("median_diff"), F.stddev_samp(d).alias("_sd"), F.avg(F.signum(d)).alias("cliffs_delta"))
+    raw = pairs.agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_sd"), F.avg(F.signum(d)).alias("cliffs_delta"))
+    raw = raw.join(exact_median(pairs, "diff"), F.lit(True), "left")  # two single rows
     nan = F.lit(float("nan"))
     enough = F.col("n") >= min_pairs
     varied = enough & (F.col("_sd") > 0)
@@ -32,22 +34,34 @@ def paired_stats(pairs: DataFrame, min_pairs: int = 5) -> DataFrame:
     return raw.select("n", keep("mean_a"), keep("mean_b"), keep("mean_diff"), keep("median_diff"), cohen.alias("cohen_d"), keep("cliffs_delta"), (cohen * F.sqrt("n")).alias("t"))
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``median_<column>``, from counts of distinct values running over ranges of them: no task holds all values."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    ranked = running_totals(values, ["x"], upto="c")
+    total = ranked.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("n"))
+    both = ranked.join(total, F.lit(True))  # a single row
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda at: F.max(F.when((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at), F.col("x")))
+    return both.agg(((holds(low) + holds(high)) / 2).alias(f"median_{column}"))
+
+
 def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """One row ``(n, w, z)``: signed ranks of the non-zero differences, ties averaged, with the tie-corrected normal statistic.
+    """One row ``(n, w, z, p)``: signed ranks of the non-zero differences, ties averaged, with the tie-corrected normal
+    statistic and its two-sided p-value (1 where nothing differs).
 
     Ranks come from counts of distinct absolute differences, not from a sort of all rows in one task.
     """
     rows = pairs.where("diff <> 0").select(F.round(F.abs("diff"), 12).alias("m"), (F.col("diff") > 0).alias("up"))
     by_size = rows.groupBy("m").agg(F.count("*").alias("c"), F.count_if("up").alias("ups"))
-    before = F.sum("c").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")
-    ranked = by_size.withColumn("rank", before + (F.col("c") + 1) / 2.0)
+    ranked = running_totals(by_size, ["m"], upto="c").withColumn("rank", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2.0)
     c = F.col("c").cast("double")
     total = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("ups")), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(c * c * c - c), F.lit(0.0)).alias("ties"))
     n = F.col("n").cast("double")
     other = n * (n + 1) / 2 - F.col("plus")
     w = F.least(F.col("plus"), other)
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return total.select("n", w.alias("w"), F.when(spread > 0, (w - n * (n + 1) / 4) / spread).otherwise(0.0).alias("z"))
+    z = F.when(spread > 0, (w - n * (n + 1) / 4) / spread).otherwise(0.0)
+    return total.select("n", w.alias("w"), z.alias("z"), F.when(n == 0, 1.0).otherwise(normal_p(z)).alias("p"))
 
 
 @F.pandas_udf(T.DoubleType())

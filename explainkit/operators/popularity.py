@@ -50,8 +50,11 @@ class RandomRanker:
         self.seed = seed
 
     def score(self, candidates: DataFrame) -> DataFrame:
-        """Smaller hashes first: the score is the negated order key, so that it descends."""
-        return candidates.withColumn("score", -unsigned_order(stable_hash64(F.col("sid"), self.seed)).cast("decimal(20,0)"))
+        """Smaller hashes first: the score is the negated order key, so that it descends. A statement is hashed
+        once, however many candidate rows it has."""
+        hashed = candidates.select(F.col("sid").alias("_sid")).distinct()
+        hashed = hashed.withColumn("score", -unsigned_order(stable_hash64(F.col("_sid"), self.seed)).cast("decimal(20,0)"))
+        return candidates.join(hashed, F.col("sid") == F.col("_sid")).drop("_sid")
 
 
 class CountRanker:
@@ -87,16 +90,25 @@ def universe_ranks(wanted: DataFrame, counts: DataFrame, owner: str | None, stat
     """``wanted (..., [owner,] sid)`` with ``rank`` among all statements.
 
     A counted statement stands where its owner's counted list puts it; an uncounted one stands behind all
-    counted ones, at its place among the uncounted: its place by id less the counted ids before it.
+    counted ones, at its place among the uncounted: its place by id less the counted ids before it. Those are
+    running counts over the owner's counted and wanted ids together; without an owner, over ranges of ids.
     """
-    keys = [owner] if owner else []
-    places = statements.select("sid", (F.row_number().over(W.orderBy("sid")) - 1).alias("_place"))
-    by_score, by_id = W.partitionBy(*keys).orderBy(F.desc("cnt"), "sid"), W.partitionBy(*keys).orderBy("sid")
-    listed = counts.withColumn("_rank", F.row_number().over(by_score)).withColumn("_before", F.row_number().over(by_id))
-    known = listed.select(*keys, "sid", "_rank")
-    totals = listed.groupBy(*keys).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("sid")).alias("_sids"))
-    joined = wanted.join(places, "sid").join(known, [*keys, "sid"], "left")
-    joined = joined.join(totals, keys, "left") if keys else joined.crossJoin(totals)
-    before = F.size(F.filter("_sids", lambda x: x < F.col("sid")))
-    behind = 1 + F.coalesce("_n", F.lit(0)) + F.col("_place") - F.when(F.col("_sids").isNull(), 0).otherwise(before)
-    return joined.withColumn("rank", F.coalesce("_rank", behind)).drop("_place", "_rank", "_n", "_sids")
+    from explainkit.operators.dictionary import dense_ids, running_totals
+
+    if owner is None:
+        known = dense_ids(counts.select("sid", (-F.col("cnt")).alias("_neg")), ["_neg", "sid"], "_rank").select(F.col("sid").alias("_known"), (F.col("_rank") + 1).alias("_rank"))
+        every = statements.select("sid").join(known, F.col("sid") == F.col("_known"), "left").select("sid", "_rank", F.lit(1).alias("_one"), F.col("_rank").isNotNull().cast("int").alias("_counted"))
+        placed = running_totals(every, ["sid"], _place="_one", _before="_counted")
+        n = counts.count()
+        ranks = placed.select(F.col("sid").alias("_sid"), F.coalesce("_rank", F.col("_place") - F.col("_before") + F.lit(n)).alias("rank"))
+        return wanted.join(ranks, F.col("sid") == F.col("_sid")).drop("_sid")
+    places = dense_ids(statements.select("sid"), ["sid"], "_place").select(F.col("sid").alias("_sid"), "_place")
+    listed = counts.select(owner, "sid", F.row_number().over(W.partitionBy(owner).orderBy(F.desc("cnt"), "sid")).alias("_rank"))
+    asked = wanted.select(owner, "sid").distinct()
+    # a wanted id that is counted too is one row
+    both = listed.unionByName(asked.withColumn("_rank", F.lit(None).cast("int"))).groupBy(owner, "sid").agg(F.max("_rank").alias("_rank"))
+    mine = W.partitionBy(owner)
+    counted = F.count("_rank").over(mine.orderBy("sid").rowsBetween(W.unboundedPreceding, 0))
+    ranked = both.withColumn("_before", counted).withColumn("_n", F.count("_rank").over(mine)).join(asked, [owner, "sid"], "left_semi")
+    ranked = ranked.join(places, F.col("sid") == F.col("_sid")).select(owner, "sid", F.coalesce("_rank", 1 + F.col("_n") + F.col("_place") - F.col("_before")).alias("rank"))
+    return wanted.join(ranked, [owner, "sid"])
