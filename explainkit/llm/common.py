@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 from itertools import compress
 from typing import ClassVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from explainkit.plans.storage import fresh_path, persist_table
+
 #: Rows handled at once inside a task.
 SLICE = 256
 #: Characters that a worker's memo of hashes may hold before it is emptied.
@@ -84,6 +87,98 @@ def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: Stru
     return plain.mapInArrow(numbered, inside).toDF(*schema.names)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed run of bytes; each array's bytes are laid out by place value, so small numbers cost little."""
+    import zstandard
+
+    raw = [len(arrays).to_bytes(4, "little")]
+    for x in arrays:
+        kind = x.dtype.str.encode()
+        raw += [bytes([len(kind)]), kind, len(x).to_bytes(8, "little"), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 4
+    for _ in range(int.from_bytes(raw[:4], "little")):
+        size = raw[at]
+        kind, n = np.dtype(raw[at + 1 : at + 1 + size].decode()), int.from_bytes(raw[at + 1 + size : at + 9 + size], "little")
+        at += 9 + size
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind) if n else np.zeros(0, kind))
+        at += n * kind.itemsize
+    return out
+
+
+def by_unit(unit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number of ``unit`` with the places of its rows, in order."""
+    order = np.argsort(unit, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(unit[order])) + 1).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield int(unit[order[a]]), order[a:b]
+
+
+def grouped(batches: Iterator, columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of sorted batches by their first column."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
+            if held and row[0] != now:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held
+
+
+def write_parts(rows: DataFrame, name: str, partitions: int) -> str:
+    """``rows (chunk, part)`` as one file a chunk in the shared folder; the folder. Whoever reads a chunk's table finds its
+    file by number, so the table itself needn't be shuffled. A repeated task replaces a file by an equal one."""
+    folder = fresh_path(rows.sparkSession, name)
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for chunk, parts in grouped(batches, 2):
+            attempt = f"{base}/.{chunk}-{uuid.uuid4().hex}"
+            with store.open_output_stream(attempt, compression=None) as f:
+                for (part,) in sorted(parts):
+                    f.write(len(part).to_bytes(8, "little") + part)
+            store.move(attempt, f"{base}/{chunk}")
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk]})
+
+    dealt = rows.select("chunk", "part").repartition(partitions, "chunk").sortWithinPartitions("chunk")
+    persist_table(dealt.mapInArrow(run, "chunk long"), f"{name}-written")
+    return folder
+
+
+def read_parts(folder: str, chunk: int) -> list[bytes]:
+    """What :func:`write_parts` wrote for a chunk; nothing if there is none."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    path = f"{base}/{chunk}"
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return []
+    with store.open_input_file(path) as f:
+        raw = f.read()
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text``; extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
