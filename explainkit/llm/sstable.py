@@ -28,15 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from explainkit.llm.common import LINE, Words, id_and_text, small_batches
-from explainkit.plans.storage import fresh_path, persist_table
+from explainkit.operators.dictionary import running_totals
+from explainkit.plans.storage import fresh_path, persist_table, qualified
 
 MAGIC = b"EKST0001"
 _FOOTER = struct.Struct("<QQQQQQB8s")
 _INDEX = struct.Struct("<QQQQ")
 #: Raw bytes after which a data block is closed, entries between restarts, Bloom bits and probes a key.
 BLOCK, RESTART, BITS, PROBES = 256 * 1024, 16, 10, 7
-#: Text bytes that a shard is meant to hold.
-SHARD_BYTES = 24 * 1024 * 1024
+#: Text bytes that a shard is meant to hold: the least, the most, and the shards from which on they grow.
+SHARD_BYTES, LARGEST, SHARDS = 24 * 1024 * 1024, 512 * 1024 * 1024, 4096
 #: Words encoded in one text.
 TOGETHER = 4096
 
@@ -322,19 +323,20 @@ def encoder(path: str, end_id: int) -> _Encoder:
     return _encoders[(path, end_id)]
 
 
-def write_shards(docs: DataFrame, path: str, out: str | None = None, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, out: str | None = None, end_id: int = 0, shard_bytes: int | None = None) -> DataFrame:
     """Encode ``docs`` and write shards below ``out``; returns the manifest ``(shard, file, n_docs, n_ids)``.
 
-    One range shuffle by id gives each task the documents of one shard; a shard streams to a name of its
-    own attempt and is then moved into place, so lost or repeated tasks leave whole files only. Null
-    text counts as empty, null ids come first, repeated ids are all kept (ties by text), extra columns
-    don't matter, an empty table writes nothing. The manifest has one row for each shard.
+    One range shuffle by id gives each task the documents of one shard; shards grow with the corpus from 24 to 512 MB
+    of text. A shard streams to a file of its own attempt and the manifest names the attempt that counts, so lost or
+    repeated tasks do no harm; other files in the folder belong to no shard. Null text counts as empty, very long texts
+    are encoded whole, null ids come first, repeated ids are all kept (ties by text hash, then text; very many rows of
+    one id fill several shards), extra columns don't matter, an empty table writes nothing.
     """
     spark = docs.sparkSession
-    folder = out or fresh_path(spark, "shards")
-    rows = id_and_text(docs)
+    folder = qualified(spark, out) if out else fresh_path(spark, "shards")
+    rows = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, -(-total // (shard_bytes or min(LARGEST, max(SHARD_BYTES, total // SHARDS)))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -343,39 +345,31 @@ def write_shards(docs: DataFrame, path: str, out: str | None = None, end_id: int
 
         coder, shard = encoder(path, end_id), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        name, attempt, writer, sink = f"{base}/shard-{shard:08d}.sst", f"{base}/.{shard}-{uuid.uuid4().hex}", None, None
+        name, writer, sink = f"shard-{shard:08d}-{uuid.uuid4().hex[:12]}.sst", None, None
         for batch in batches:
             if batch.num_rows:  # batches are bounded in bytes
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 if writer is None:
-                    sink = store.open_output_stream(attempt, compression=None)
+                    store.create_dir(base, recursive=True)
+                    sink = store.open_output_stream(f"{base}/{name}", compression=None)
                     writer = ShardWriter(sink, coder.width)
                 for doc_id, value in zip(ids, coder.encode(texts), strict=True):
                     writer.add(key_of(doc_id), value)
         if writer is not None:
             writer.close()
             sink.close()
-            if store.get_file_info(name).type != fs.FileType.NotFound:
-                store.delete_file(name)
-            store.move(attempt, name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/shard-{shard:08d}.sst"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "n_docs": [writer.docs], "n_ids": [writer.ids]})
 
-    ordered = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(int(shards), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return persist_table(small_batches(ordered).mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
-    The manifest (one row for each shard of about 24 MB of text) is summed on the driver for the number
-    of ids before each shard.
+    The number of ids before each shard is a running total over the manifest; nothing reaches the driver but the number
+    of shards. An empty manifest gives no rows.
     """
-    rows = sorted((r["shard"], r["file"], r["n_ids"]) for r in manifest.collect())
-    before, todo = 0, []
-    for _, file, n in rows:
-        todo.append((file, before))
-        before += n
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -396,5 +390,6 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                             out = ([], [], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(todo, "file string, start long").repartition(max(1, len(todo)), "file")
+    starts = running_totals(manifest, ["shard"], upto="n_ids").select("file", (F.col("upto") - F.col("n_ids")).alias("start"))
+    files = starts.repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
