@@ -158,7 +158,14 @@ def _(spark, d):
     return found.select("row_id", F.size("cleaned.statements").alias("n"))
 
 
-@query("llm_judge")
+_HAS = r"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({})($|[^\p{{L}}\p{{N}}_])')"
+
+
+@query(
+    "llm_judge",
+    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\S') THEN (NOT ({_HAS.format("and|but|or|because|while")} OR contains(text, ';')))::INTEGER END AS atomicity,
+    CASE WHEN regexp_matches(text, '\\S') THEN (NOT {_HAS.format("i|me|my|we|us|our")})::INTEGER END AS explainatoriness FROM conversations""",
+)
 def _(spark, d):
     found = models.judge_texts(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", models.ClauseJudge())
     return found.select("conv_id", "turn", "verdict.atomicity", "verdict.explainatoriness")
@@ -170,7 +177,14 @@ def _(spark, d):
     return found.select("item_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
 
 
-@query("rerank_pairs")
+_SETS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> ''))"
+
+
+@query(
+    "rerank_pairs",
+    f"""WITH p AS (SELECT a.item_id, {_SETS.format("a.text")} AS x, {_SETS.format("b.text")} AS y FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id - 1)
+    SELECT item_id, round(CASE WHEN len(list_distinct(list_concat(x, y))) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE ELSE 0 END, 6) AS sim FROM p""",
+)
 def _(spark, d):
     a = read(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
     b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))

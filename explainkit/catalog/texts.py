@@ -88,9 +88,9 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", text.word_truncate(F.col("text"), 12).alias("t"))
 
 
-@query("k_shingles", r"SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::INTEGER AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')")
+@query("k_shingles", r"SELECT doc_id, len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::INTEGER AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)")
 def _(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'")
+    docs = read(spark, d, "documents")
     return docs.select("doc_id", F.size(text.k_shingles(F.col("text"), 3)).alias("n"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from explainkit.functions.hashing import hash52
-from explainkit.functions.vectors import distance, dot
+from explainkit.functions.vectors import distance, dot, l2_normalize
+from explainkit.plans.storage import persist_table
 
 
 def sum_vectors(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -172,14 +173,19 @@ def dunn_index(members: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 def refine_components(members: DataFrame, edges: DataFrame, component: str = "component", intra: float = 0.85, merge: float = 0.90) -> DataFrame:
     """``(component, cluster_id, id)``: components split by pivot expansion; a cluster is named by its smallest id.
 
-    A component whose pairs all reach ``intra`` stays whole. Otherwise the node with most neighbours left
-    takes them; its group joins the open cluster if it is ``merge``-similar to all that cluster's pivots,
-    else the open cluster is closed. Greedy by nature, so one task a component; ties go to the smaller id.
+    A component whose pairs all reach ``intra`` stays whole; pairs of blocks tell, so no task multiplies a whole
+    component. In the others the node with most neighbours left takes them; its group joins the open cluster if it is
+    ``merge``-similar to all that cluster's pivots, else the open cluster is closed. That is greedy by definition, so
+    one task a component; it holds the component's vectors and edges, and ties go to the smaller id.
     """
     kind = dict(members.dtypes)[component]
-    near = edges.join(members.select(F.col("id").alias("src"), component), "src").groupBy(component).agg(F.collect_list(F.struct("src", "dst")).alias("_edges"))
-    rows = members.select(component, "id", F.col("embedding").cast("array<double>").alias("v"))
-    marked = rows.groupBy(component).agg(F.collect_list(F.struct("id", "v")).alias("_nodes")).join(near, component, "left")
+    rows = members.select(component, "id", l2_normalize(F.col("embedding")).alias("embedding"))
+    split = persist_table(lowest_similarity(rows, component).where(F.col("low") < intra).select(component), "split")
+    least = rows.groupBy(component).agg(F.min("id").alias("cluster_id"))
+    whole = rows.join(split, component, "left_anti").join(least, component).select(component, "cluster_id", "id")
+    loose = rows.join(split, component, "left_semi")
+    near = edges.join(loose.select(F.col("id").alias("src"), component), "src").groupBy(component).agg(F.collect_list(F.struct("src", "dst")).alias("_edges"))
+    marked = loose.groupBy(component).agg(F.collect_list(F.struct("id", F.col("embedding").alias("v"))).alias("_nodes")).join(near, component, "left")
 
     def refine(batches):
         import pandas as pd
@@ -189,31 +195,38 @@ def refine_components(members: DataFrame, edges: DataFrame, component: str = "co
             for name, nodes, links in zip(pdf[component], pdf["_nodes"], pdf["_edges"], strict=True):
                 vectors = {int(n["id"]): n["v"] for n in nodes}
                 pairs = [] if links is None else [(int(e["src"]), int(e["dst"])) for e in links]
-                for group in refine_one(vectors, pairs, intra, merge):
+                for group in refine_one(vectors, pairs, merge):
                     out += [(name, group[0], i) for i in group]
             yield pd.DataFrame(out, columns=[component, "cluster_id", "id"])
 
-    return marked.mapInPandas(refine, f"{component} {kind}, cluster_id long, id long")
+    return whole.unionByName(marked.mapInPandas(refine, f"{component} {kind}, cluster_id long, id long"))
 
 
-def refine_one(vectors: dict, pairs: list[tuple[int, int]], intra: float, merge: float) -> list[list[int]]:
-    """Pivot expansion of one component; sorted groups."""
+def refine_one(vectors: dict, pairs: list[tuple[int, int]], merge: float) -> list[list[int]]:
+    """Pivot expansion of one component of unit vectors; sorted groups. Nodes are picked from a heap of neighbours left."""
+    import heapq
+
     import numpy as np
 
     ids = sorted(vectors)
     place = {n: i for i, n in enumerate(ids)}
     x = np.stack([np.asarray(vectors[n], dtype=float) for n in ids])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    if len(ids) == 1 or float((x @ x.T).min()) >= intra:
-        return [ids]
     near: list[set[int]] = [set() for _ in ids]
     for a, b in pairs:
         if a in place and b in place and a != b:
             near[place[a]].add(place[b])
             near[place[b]].add(place[a])
     left, groups, open_group, pivots = set(range(len(ids))), [], set(), []
+    heap = [(-len(near[n]), n) for n in left]
+    heapq.heapify(heap)
     while left:
-        pivot = min(left, key=lambda n: (-len(near[n] & left), n))
+        degree, pivot = heapq.heappop(heap)
+        if pivot not in left:
+            continue
+        now = len(near[pivot] & left)
+        if now != -degree:  # some neighbours are gone since
+            heapq.heappush(heap, (-now, pivot))
+            continue
         taken = {pivot} | near[pivot] & left
         if open_group and float((x[pivots] @ x[pivot]).min()) < merge:
             groups.append(open_group)

@@ -55,8 +55,8 @@ VECTORS_SQL = f"vectors AS (SELECT vec_id AS id, label % {GROUPS} AS grp, label,
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_id, review, sentiment)`` of the English documents."""
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("row_id"), F.col("text").alias("review"))
+    """``(row_id, review, sentiment)`` of the documents."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("review"))
     labels = read(spark, sf_dir, "labels")
     mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
     return docs.join(labels, docs["row_id"] == labels["doc_id"], "left").select("row_id", "review", mood.alias("sentiment"))
@@ -64,4 +64,4 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REVIEWS_SQL = """reviews AS (SELECT d.doc_id AS row_id, text AS review,
         CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en')"""
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -94,8 +94,8 @@ def test_components(spark):
 def test_refinement():
     unit = lambda a: [math.cos(math.radians(a)), math.sin(math.radians(a))]
     edges = [(0, 1), (0, 2), (2, 3), (3, 4)]
-    assert clusters.refine_one({i: unit(a) for i, a in enumerate([0, 10, 20, 50, 60])}, edges, 0.85, 0.9) == [[0, 1, 2], [3, 4]]
-    assert clusters.refine_one({i: unit(a) for i, a in enumerate([0, 10, 20, 20, 60])}, edges, 0.85, 0.9) == [[0, 1, 2, 3, 4]]
+    assert clusters.refine_one({i: unit(a) for i, a in enumerate([0, 10, 20, 50, 60])}, edges, 0.9) == [[0, 1, 2], [3, 4]]
+    assert clusters.refine_one({i: unit(a) for i, a in enumerate([0, 10, 20, 20, 60])}, edges, 0.9) == [[0, 1, 2, 3, 4]]
 
 
 def test_representatives(spark):

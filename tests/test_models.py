@@ -126,6 +126,34 @@ def test_cluster_measures_without_pairs(spark):
     assert clusters.ssb(reps, 60).first()["ssb"] == pytest.approx(want)
 
 
+def test_refinement_by_brute_force(spark):
+    """Components split by a plain search for the node with most neighbours left; coherent ones stay whole."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(48, 3))
+    x[:6] = [1, 0, 0] + rng.normal(size=(6, 3)) * 0.05
+    comp = [0] * 6 + [10] * 30 + [40] * 12
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 48, (160, 2)) if a != b and comp[a] == comp[b]})
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: 0 for i in range(6)}
+    for name in (10, 40):
+        left, open_group, pivots, groups = {i for i in range(48) if comp[i] == name}, set(), [], []
+        near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in left}
+        while left:
+            pivot = min(left, key=lambda n: (-len(near[n] & left), n))
+            if open_group and min(unit[p] @ unit[pivot] for p in pivots) < 0.6:
+                groups.append(open_group)
+                open_group, pivots = set(), []
+            taken = {pivot} | near[pivot] & left
+            open_group |= taken
+            pivots.append(pivot)
+            left -= taken
+        for g in [*groups, open_group]:
+            want |= dict.fromkeys(g, min(g))
+    members = spark.createDataFrame([(comp[i], i, v.tolist()) for i, v in enumerate(x)], "component long, id long, embedding array<double>")
+    found = clusters.refine_components(members, spark.createDataFrame(edges, "src long, dst long"), intra=0.8, merge=0.6).collect()
+    assert {r["id"]: r["cluster_id"] for r in found} == want and len(found) == 48 and len(set(want.values())) > 4
+
+
 def test_running_totals_and_median(spark):
     rng = random.Random(8)
     values = [rng.randrange(30) for _ in range(201)]
