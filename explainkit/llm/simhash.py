@@ -200,7 +200,9 @@ def links(nodes: DataFrame, count: int, part: int = PART) -> DataFrame:
             yield from edges(held_key, held)
 
     by = [*keys, "i", "j"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long").distinct()
+    # comparing costs more than its few bytes tell, so the tasks follow the number of nodes
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // 8192))
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long").distinct()
 
 
 def components(prints: DataFrame) -> DataFrame:
