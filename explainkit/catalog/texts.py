@@ -167,12 +167,12 @@ def _(spark, d):
     return outputs(spark, d).select("event_id", json_text.first_statements(F.col("out")).alias("found"))
 
 
-@query("json_scan_objects")
+@query("json_scan_objects", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"statements": [' || props || ']}' WHEN 2 THEN '' ELSE '{"other": 1}' END AS found FROM events""")
 def _(spark, d):
     return outputs(spark, d).select("event_id", F.array_join(json_text.all_objects(F.col("out")), "|").alias("found"))
 
 
-@query("payload_coerce")
+@query("payload_coerce", """SELECT event_id, CASE WHEN props IS NULL THEN '{"statements": []}' ELSE '{"k": ' || json_extract(props, '$.k') || '}' END AS payload FROM events""")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", json_text.coerce_payload(F.col("props")).alias("payload"))
 

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 #: Statements as stored.
 STATEMENTS = "array<struct<statement:string,sentiment:string>>"
+# What counts as the first array of objects, as the statements object, and as the widest object of a text.
+ARRAY = r"(?s)\[\s*\{.*?\}\s*\]"
+STATEMENTS_OBJECT = r'(?s)\{\s*"statements"\s*:\s*\[.*?\]\s*\}'
+WIDEST_OBJECT = r"(?s)\{.*\}"
 
 
 def _or_null(c: Column) -> Column:
@@ -21,13 +25,13 @@ def _or_null(c: Column) -> Column:
 
 def first_array(c: Column) -> Column:
     """Text of the first JSON array of objects inside a text."""
-    return _or_null(F.regexp_extract(c, r"(?s)\[\s*\{.*?\}\s*\]", 0))
+    return _or_null(F.regexp_extract(c, ARRAY, 0))
 
 
 def first_statements(c: Column) -> Column:
     """Text of the ``{"statements": [...]}`` object, else of the widest object that has such a key."""
-    exact = _or_null(F.regexp_extract(c, r'(?s)\{\s*"statements"\s*:\s*\[.*?\]\s*\}', 0))
-    wide = _or_null(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+    exact = _or_null(F.regexp_extract(c, STATEMENTS_OBJECT, 0))
+    wide = _or_null(F.regexp_extract(c, WIDEST_OBJECT, 0))
     return F.coalesce(exact, F.when(F.get_json_object(wide, "$.statements").isNotNull(), wide))
 
 
