@@ -133,14 +133,41 @@ def read_artifacts(spark: SparkSession, folder: str, interactions: int, width: i
         raise ValueError(f"{POOL_FILE} holds {held} bytes, expected {4 * interactions * width}")
     if npy_header(qualified(spark, f"{folder}/{OFFSETS_FILE}"))[0] != (interactions, OFFSETS):
         raise ValueError(f"{OFFSETS_FILE} must be of shape {(interactions, OFFSETS)}")
-    ints = lambda df, name, kind: df.select(F.col("row").alias("interaction_id"), F.col("values").cast(f"array<{kind}>").alias(name))
-    out = ints(read_rows(spark, f"{folder}/{POOL_FILE}", (interactions, width), "<i4"), "pool", "long")
-    out = out.join(ints(read_npy(spark, f"{folder}/{OFFSETS_FILE}", OFFSETS), "offsets", "int"), "interaction_id")
-    if not exists(spark, f"{folder}/{NEGATIVES_FILE}"):
-        return out.withColumn("negatives", F.lit(None).cast("array<int>"))
-    if npy_header(qualified(spark, f"{folder}/{NEGATIVES_FILE}"))[0] != (interactions, NEGATIVES):
-        raise ValueError(f"{NEGATIVES_FILE} must be of shape {(interactions, NEGATIVES)}")
-    return out.join(ints(read_npy(spark, f"{folder}/{NEGATIVES_FILE}", NEGATIVES), "negatives", "int"), "interaction_id")
+    offset = lambda name: npy_header(qualified(spark, f"{folder}/{name}"))[2]
+    files = [("pool", f"{folder}/{POOL_FILE}", width, 0), ("offsets", f"{folder}/{OFFSETS_FILE}", OFFSETS, offset(OFFSETS_FILE))]
+    if exists(spark, f"{folder}/{NEGATIVES_FILE}"):
+        if npy_header(qualified(spark, f"{folder}/{NEGATIVES_FILE}"))[0] != (interactions, NEGATIVES):
+            raise ValueError(f"{NEGATIVES_FILE} must be of shape {(interactions, NEGATIVES)}")
+        files.append(("negatives", f"{folder}/{NEGATIVES_FILE}", NEGATIVES, offset(NEGATIVES_FILE)))
+    out = _read_together(spark, [(name, qualified(spark, path), size, at) for name, path, size, at in files], interactions)
+    return out if len(files) == 3 else out.withColumn("negatives", F.lit(None).cast("array<int>"))
+
+
+def _read_together(spark: SparkSession, files: list[tuple[str, str, int, int]], n: int, rows: int = 65_536, batch: int = 8_192) -> DataFrame:
+    """``(interaction_id, a list a file)``: a task reads the same range of rows of all ``files (name, path, width, offset)`` of
+    32-bit integers, so that they need no join (which Spark would take for a small one and send through the driver)."""
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in parts:
+            for start in part.column(0).to_pylist():
+                end = min(start + rows, n)
+                opened = [_open(path) for _, path, _, _ in files]
+                for f, (_, _, width, offset) in zip(opened, files, strict=True):
+                    f.seek(offset + 4 * width * start)
+                for at in range(start, end, batch):
+                    held = min(batch, end - at)
+                    columns = [pa.array(np.arange(at, at + held))]
+                    for f, (name, _, width, _) in zip(opened, files, strict=True):
+                        flat = np.frombuffer(f.read(4 * width * held), "<i4").astype(np.int64 if name == "pool" else np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(held + 1, dtype=np.int32) * width), pa.array(flat)))
+                    yield pa.RecordBatch.from_arrays(columns, ["interaction_id", *(f[0] for f in files)])
+                for f in opened:
+                    f.close()
+
+    schema = ", ".join(f"{name} array<{'long' if name == 'pool' else 'int'}>" for name, _, _, _ in files)
+    return spark.range(0, max(n, 0), rows, max(1, -(-n // rows))).mapInArrow(run, f"interaction_id long, {schema}")
 
 
 def _size(spark: SparkSession, path: str) -> int:
@@ -150,34 +177,111 @@ def _size(spark: SparkSession, path: str) -> int:
     return store.get_file_info(name).size
 
 
-def write_artifacts(rows: DataFrame, folder: str, interactions: int, width: int) -> None:
+def write_artifacts(rows: DataFrame, folder: str, interactions: int, width: int, block: int = 65_536) -> None:
     """``rows (interaction_id, pool, offsets, negatives)`` as the files of :func:`read_artifacts`; ids are 0 to ``interactions`` - 1.
 
-    The format is single files of a stated size; pools are streamed in order, a row at a time.
+    The format is single files of a stated size. Tasks write ``block`` rows each into files beside them, and these are
+    appended in order: the driver sees a row a block and copies bytes, whatever the number of interactions.
     """
+    where = qualified(rows.sparkSession, folder)
+    files = ((POOL_FILE, "pool", width), (OFFSETS_FILE, "offsets", OFFSETS), (NEGATIVES_FILE, "negatives", NEGATIVES))
+    store, base = _open_store(where)
+    store.create_dir(f"{base}/parts", recursive=True)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        attempt, store, base = TaskContext.get().taskAttemptId(), *_open_store(f"{where}/parts")
+        at, seen, outs = None, 0, []
+
+        def told(error: str | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"block": [at], "attempt": [attempt], "rows": [seen], "error": pa.array([error], pa.string())})
+
+        try:
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for first, last in _runs(ids // block):
+                    if ids[first] // block != at:
+                        if at is not None:
+                            yield told()
+                        for f in outs:
+                            f.close()
+                        at, seen = int(ids[first]) // block, 0
+                        outs = [store.open_output_stream(f"{base}/{name}-{at}-{attempt}", compression=None) for name, _, _ in files]
+                    part = batch.slice(first, last - first)
+                    if not np.array_equal(ids[first:last], at * block + seen + np.arange(last - first)):
+                        yield told("ids must be dense")
+                        return
+                    for n, ((_, name, size), f) in enumerate(zip(files, outs, strict=True), 1):
+                        table = _padded(part.column(n), size, empty=name == "negatives", short=name == "pool")
+                        if table is None:
+                            yield told(f"{name} must be whole numbers of 32 bits, {size} {'at most' if name == 'pool' else 'each'}")
+                            return
+                        f.write(table.tobytes())
+                    seen += last - first
+        finally:
+            for f in outs:
+                f.close()
+        if at is not None:
+            yield told()
+
+    dealt = rows.select("interaction_id", *[F.col(name).cast("array<long>").alias(name) for _, name, _ in files])
+    dealt = dealt.repartition(max(1, -(-interactions // block)), F.floor(F.col("interaction_id") / block)).sortWithinPartitions("interaction_id")
+    found = sorted((r["block"], r["attempt"], r["rows"], r["error"]) for r in dealt.mapInArrow(run, "block long, attempt long, rows long, error string").collect())
+    for _, _, _, error in found:
+        if error:
+            raise ValueError(error)
+    sizes = [min(block, interactions - at) for at in range(0, interactions, block)]
+    if [r[0] for r in found] != list(range(len(sizes))) or [r[2] for r in found] != sizes:
+        raise ValueError(f"{sum(r[2] for r in found)} rows, expected {interactions}; ids must be dense")
+    for name, _, size in files:
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            if name != POOL_FILE:
+                np.lib.format.write_array_header_1_0(out, {"descr": "<i4", "fortran_order": False, "shape": (interactions, size)})
+            for at, attempt, _, _ in found:
+                part = f"{base}/parts/{name}-{at}-{attempt}"
+                with store.open_input_stream(part, compression=None) as f:
+                    while content := f.read(1 << 20):
+                        out.write(content)
+                store.delete_file(part)
+    store.delete_dir(f"{base}/parts")
+
+
+def _open_store(path: str):
     from pyarrow import fs
 
-    where = qualified(rows.sparkSession, folder)
-    store, base = fs.FileSystem.from_uri(where)
-    store.create_dir(base, recursive=True)
-    offsets, negatives, seen = np.zeros((interactions, OFFSETS), np.int32), np.zeros((interactions, NEGATIVES), np.int32), 0
-    with store.open_output_stream(f"{base}/{POOL_FILE}", compression=None) as f:
-        for r in rows.orderBy("interaction_id").toLocalIterator():
-            if r["interaction_id"] != seen or len(r["pool"]) > width:
-                raise ValueError("ids must be dense and pools no wider than stated")
-            f.write(np.array(r["pool"] + [PAD] * (width - len(r["pool"])), "<i4").tobytes())
-            offsets[seen], negatives[seen] = r["offsets"], r["negatives"] or 0
-            seen += 1
-    if seen != interactions:
-        raise ValueError(f"{seen} rows, expected {interactions}")
-    for name, table in ((OFFSETS_FILE, offsets), (NEGATIVES_FILE, negatives)):
-        with _create(f"{where}/{name}") as f:
-            np.save(f, table)
+    return fs.FileSystem.from_uri(path)
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ends of the runs of equal keys."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1 if len(keys) else np.zeros(0, int)
+    ends = [0, *cuts.tolist(), len(keys)]
+    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+
+
+def _padded(lists, width: int, empty: bool, short: bool) -> np.ndarray | None:
+    """A table of 32-bit integers from lists of ``width`` numbers: fewer are padded if ``short`` is allowed, no list is zeros
+    if ``empty`` is; nothing for any other content."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    none = sizes == 0 if empty else np.zeros(len(sizes), bool)
+    if flat.null_count or (lists.null_count and not empty) or (sizes > width).any() or (not short and (sizes[~none] != width).any()):
+        return None
+    values = flat.to_numpy(zero_copy_only=False)
+    if len(values) and (values.min() < -(2**31) or values.max() >= 2**31):
+        return None
+    table = np.full((len(sizes), width), PAD, "<i4")
+    table[none] = 0
+    table[np.arange(width) < sizes[:, None]] = values
+    return table
 
 
 def slice_rows(artifacts: DataFrame, wanted: DataFrame, key: str = "interaction_id") -> DataFrame:
     """The artefacts of ``wanted`` interactions."""
-    return artifacts.join(wanted.select(key), key, "left_semi")
+    # rows read from files look few to Spark, which would broadcast them
+    return artifacts.join(wanted.select(key).hint("merge"), key, "left_semi")
 
 
 def pool_rows(artifacts: DataFrame) -> DataFrame:

@@ -222,6 +222,38 @@ def test_array_files(spark, tmp_path):
         artifacts.read_artifacts(spark, f"{base}/none", 2, 3)
 
 
+def test_artifacts_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Blocks end where they must, bad rows are refused, and no row passes through the driver."""
+    from pyspark.sql import DataFrame
+
+    def never(self, *args, **kwargs):
+        raise AssertionError("rows pass through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    base = f"file://{tmp_path}"
+    shape = "interaction_id long, pool array<long>, offsets array<int>, negatives array<int>"
+    rows = [(i, list(range(i % 4)), [i] * 5, [i] * 4 if i % 3 else None) for i in range(50)]
+    table = lambda r: spark.createDataFrame(r, shape).repartition(3)
+    artifacts.write_artifacts(table(rows), f"{base}/a", 50, 3, block=7)
+    pool = np.fromfile(f"{tmp_path}/a/{artifacts.POOL_FILE}", "<i4").reshape(50, 3).tolist()
+    assert pool == [p + [-1] * (3 - len(p)) for _, p, _, _ in rows]
+    assert np.load(f"{tmp_path}/a/{artifacts.OFFSETS_FILE}").tolist() == [o for _, _, o, _ in rows]
+    assert np.load(f"{tmp_path}/a/{artifacts.NEGATIVES_FILE}").tolist() == [n or [0] * 4 for _, _, _, n in rows]
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == sorted([artifacts.POOL_FILE, artifacts.OFFSETS_FILE, artifacts.NEGATIVES_FILE])
+    found = artifacts.read_artifacts(spark, f"{base}/a", 50, 3)
+    assert sorted(map(tuple, artifacts.pool_rows(found).collect())) == [(i, at, sid) for i, p, _, _ in rows for at, sid in enumerate(p)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sliced = artifacts.slice_rows(found, found.select("interaction_id").where("interaction_id % 5 = 0"))
+    assert {r["interaction_id"]: r["offsets"] for r in sliced.collect()} == {i: o for i, _, o, _ in rows if i % 5 == 0}
+    assert "Join" not in plan(found) and "Broadcast" not in plan(sliced)  # nothing goes through the driver here either
+    artifacts.write_artifacts(table([]), f"{base}/none", 0, 3)
+    assert artifacts.read_artifacts(spark, f"{base}/none", 0, 3).count() == 0
+    wide, twice = [(0, [1, 2, 3, 4], [1] * 5, None)], [rows[0], rows[1], rows[1]]
+    for n, bad in ((1, wide), (3, twice), (51, rows), (49, rows), (49, rows[1:]), (1, [(0, [2**31], [1] * 5, None)]), (1, [(0, [1], [1], None)])):
+        with pytest.raises(ValueError):
+            artifacts.write_artifacts(table(bad), f"{base}/bad", n, 3, block=7)
+
+
 def test_settings_and_prompts(spark, tmp_path):
     (tmp_path / "p.txt").write_text("You are\na judge.\n")
     assert artifacts.read_prompt(spark, f"file://{tmp_path}/p.txt") == "You are\na judge.\n"
