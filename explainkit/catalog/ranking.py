@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from explainkit.catalog.scans import split_table
 from explainkit.operators import evaluate, paired_stats, popularity, ranking
+from explainkit.operators.splits import leave_last_two
 from explainkit.plans.adapters import SPLITS_SQL, STATEMENTS, interactions, interactions_sql
 from explainkit.plans.storage import persist_table
 
@@ -110,8 +111,9 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, rows).groupBy("method").pivot("paradigm", ["item", "user"]).agg(F.first("ndcg10"))
 
 
-def sample_rows(spark, d, name: str, paradigm: str, ks=(10,)) -> DataFrame:
-    splits, every, statements = parts(spark, d)
+def sample_rows(spark, d, name: str, paradigm: str, ks=(10,), given: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Metrics by sample; ``given`` are :func:`parts`, if they are there already."""
+    splits, every, statements = given or parts(spark, d)
     found = evaluate.positive_ranks(evaluate.ranker_named(name, splits, STATEMENTS), paradigm, splits, every, statements, STATEMENTS)
     return ranking.ranking_metrics(found, ["interaction_id"], ks)
 
@@ -260,7 +262,10 @@ def both_sql(paradigm: str = "item") -> str:
 
 
 def both(spark, d) -> DataFrame:
-    a, b = sample_rows(spark, d, "userpop", "item"), sample_rows(spark, d, "itempop", "item")
+    """Both rankers' NDCG by sample. Interactions and splits are made once, with the columns that rankings need."""
+    every = persist_table(interactions(spark, d).drop("rating"), "interactions")
+    given = persist_table(leave_last_two(every).drop("ts"), "splits"), every, spark.range(STATEMENTS).select(F.col("id").alias("sid"))
+    a, b = (sample_rows(spark, d, name, "item", given=given) for name in ("userpop", "itempop"))
     return paired_stats.paired(a, b, ["interaction_id"], "ndcg10")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from explainkit.operators.dictionary import running_totals
+from explainkit.plans.storage import persist_table
 
 
 def paired(a: DataFrame, b: DataFrame, key: list[str], metric: str) -> DataFrame:
@@ -24,6 +25,7 @@ def paired_stats(pairs: DataFrame, min_pairs: int = 5) -> DataFrame:
     NaN below ``min_pairs`` pairs; d and t are NaN where the differences don't vary.
     """
     d = F.col("diff")
+    pairs = persist_table(pairs.select("a", "b", "diff"), "paired")  # read twice: by the sums and by the median
     raw = pairs.agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_sd"), F.avg(F.signum(d)).alias("cliffs_delta"))
     raw = raw.join(exact_median(pairs, "diff"), F.lit(True), "left")  # two single rows
     nan = F.lit(float("nan"))

@@ -18,3 +18,36 @@ def test_minhash_groups_keep_every_link(spark):
                     top[a] = top[b] = min(top[a], top[b])
     found = {r["id"]: r["group_id"] for r in lsh.minhash_groups(spark.createDataFrame(rows, "id long, text string"), 0.9).collect()}
     assert found == top and all(top[10 * g + 3] == 10 * g + 1 for g in range(40))
+
+
+def test_sample_ranks_lay_out_no_candidates(spark, monkeypatch):
+    """Ranks that depend on user and item, against all candidates of each sample; without any window over them."""
+    import random
+
+    from explainkit.operators import evaluate
+    from explainkit.operators.popularity import CountRanker
+
+    draw = random.Random(3)
+    rows = [(i, draw.randrange(6), draw.randrange(4), [draw.randrange(-1, 31) for _ in range(draw.randrange(6))], draw.choice(["train", "test"])) for i in range(120)]
+    splits = spark.createDataFrame(rows, "interaction_id long, user_id long, item_id long, statement_ids array<long>, split string")
+    every, size, want = splits.drop("split"), 30, set()
+    valid = lambda ids: {s for s in ids if 0 <= s < size}
+    for name, (scorer, owner) in {"userpop": (1, 2), "itempop": (2, 1)}.items():
+        for i, u, t, ids, split in rows:
+            key = (u, t)
+            pool = {s for r in rows if r[owner] == (key[owner - 1]) for s in valid(r[3])}
+            count = lambda s, k=key[scorer - 1], n=scorer: sum(s in r[3] for r in rows if r[4] == "train" and r[n] == k)
+            order = sorted(pool, key=lambda s: (-count(s), s))
+            want |= {(name, i, s, order.index(s) + 1) for s in valid(ids) & pool if split == "test"}
+    rankers = {name: evaluate.ranker_named(name, splits, size) for name in ("userpop", "itempop")}
+    assert all(isinstance(r, CountRanker) for r in rankers.values())
+
+    def never(*args):
+        raise AssertionError("candidates are laid out for each sample")
+
+    monkeypatch.setattr(evaluate, "rank_within", never)
+    got = set()
+    for name, paradigm in (("userpop", "item"), ("itempop", "user")):
+        found = evaluate.positive_ranks(rankers[name], paradigm, splits, every, spark.range(size).withColumnRenamed("id", "sid"), size)
+        got |= {(name, r["interaction_id"], r["sid"], r["rank"]) for r in found.collect()}
+    assert got == want and len(got) > 100
