@@ -84,6 +84,23 @@ def test_two_stages(spark, liked):
     assert {(r["user_id"], r["item_id"]) for r in found} <= {(0, 0), (0, 1), (1, 1)} and len(found) % 2 == 0 and found
 
 
+def test_best_places_with_ties():
+    rng = np.random.default_rng(2)
+    for scores in (rng.integers(0, 4, (40, 9)).astype(float), rng.random((40, 9)), np.zeros((3, 9)), np.empty((0, 9))):
+        for k in (1, 3, 9, 12):
+            assert graph_model.best_places(scores, k).tolist() == np.argsort(-scores, axis=1, kind="stable")[:, :k].tolist()
+
+
+def test_search_shares_its_graph(spark, monkeypatch):
+    """All step lengths train over one graph; a trainer's losses are its own."""
+    built = []
+    monkeypatch.setattr(graph_model.JointGraph, "__post_init__", (lambda f: lambda self: (built.append(1), f(self))[1])(graph_model.JointGraph.__post_init__))
+    from explainkit import catalog
+
+    found = {r["rate"]: (r["quality"], r["best"]) for r in catalog.queries()["joint_search"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(built) == 1 and set(found) == {0.02, 0.1} and sum(b for _, b in found.values()) == 1
+
+
 def test_top_of_blocks_is_exact(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(30, 4)).round(2), rng.normal(size=(50, 4)).round(2)
