@@ -9,10 +9,13 @@ probability over the same tokens as the base score.
 
 The tree has two parts. Its crown holds contexts that make up a least share of all training tokens, over
 frequent words and, for all others, classes of their last two characters; so it has a bounded size and is
-broadcast. Below a class, every word of it that occurs often enough by count has a branch of its own: the contexts
-that end in that word, kept from a fixed count on if they diverge. The branches grow with the corpus.
-They are never gathered: tokens behind such a word are dealt by the word (behind a word too common for one
-task, by the word and the symbol before it, whose branches start there), so a task holds whole branches, grows them, scores those tokens, and sends back sums by document, as one file a chunk.
+broadcast. All other contexts are in branches, which are kept from a fixed count on if they diverge. A word of a class that occurs often
+enough by count has a branch of its own: the contexts that end in that word. The rarer words of a class share a
+branch, and so do the uses of a frequent word: of the contexts that end in it, a branch has those that the crown doesn't hold.
+The branches grow with the corpus. They are never gathered: tokens are dealt by the word, or by their shortest context
+that the crown doesn't hold, so a task holds whole branches, grows them, scores those tokens, and sends back sums by
+document, as one file a chunk. (Without ``Bounds.every`` only a class's words of their own have branches; behind a word too
+common for one task these start with the symbol before it.)
 
 Documents are cut once into chunks of local token numbers with a local vocabulary. Vocabularies are dealt by
 word, as arrays, to count the whole corpus; the counts come back as one small file a chunk, so that tokens are
@@ -40,18 +43,25 @@ DEPTH, DISCOUNT, CLASSES = 3, 0.6, 4096
 class Bounds:
     """Least share of the training tokens that a context of the crown makes up, and a word that contexts and states know
     by itself; least count of a context, in branches and in the crown of small corpora; text bytes of a chunk; tokens
-    whose words and branches are dealt to one task, about."""
+    whose words and branches are dealt to one task, about; whether every context the crown doesn't hold has a branch, and
+    the crown's states know all their next symbols (if not, only words that aren't frequent have branches)."""
 
     share: float = 2e-4
     frequent: float = 5e-5
     least: int = 8
     chunk_bytes: int = 8_000_000
     unit_tokens: int = 3_000_000
+    every: bool = False
 
 
+#: The whole tree.
+EVERY = Bounds(every=True)
+
 #: The end of a text in the vocabulary (no word holds white space).
 END = b"\n"
 RARE, START, WHOLE = 0, 1, -1
+#: Tokens whose branches are grown at once, about.
+STEP = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 
@@ -353,12 +363,20 @@ class SuffixTree:
         self.pairs.append(key[order])
         self.share.append(share[rows][order])
 
-    def symbol_shares(self, columns: list[np.ndarray], nexts: np.ndarray) -> np.ndarray:
-        """Probability of each next symbol after the symbols of ``columns``."""
-        p = self.root[nexts]
+    def symbol_shares(self, columns: list[np.ndarray], nexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each next symbol after the symbols of ``columns``, and how many of the contexts the crown holds."""
+        p, depth = self.root[nexts], np.zeros(len(nexts), np.int8)
         for size, at, h in walk(columns[: len(self.states) - 1], self.first, self.known):
             p[at] = self.climb(p[at], size, h, nexts[at])
-        return p
+            depth[at] = size
+        return p, depth
+
+    def beyond(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The hash of each token's shortest context that the crown doesn't hold; 0 if it holds all of them."""
+        out = _hash(np.ones(len(columns[0]), np.uint64), columns[0])
+        for size, at, h in walk(columns[: len(self.states) - 1], self.first, self.known):
+            out[at] = np.where(columns[size][at] == WHOLE, 0, _hash(h, columns[size][at])) if size < DEPTH else 0
+        return out
 
     def own_share(self, nexts: np.ndarray, c: np.ndarray) -> np.ndarray:
         """What a rare word has of the rare symbol by its training count ``c``; one for the others."""
@@ -389,8 +407,8 @@ def train(chunks: DataFrame, vocab: DataFrame, total: int, bounds: Bounds = Boun
     for size in range(1, DEPTH + 1):
         if not len(known[size]):
             break
-        # rarer next symbols are left to smoothing, which bounds the rows
-        enough = F.when(F.col("longer"), F.col("n") >= least).otherwise((F.col("n") >= max(2, least / 50)) | (F.col("symbol") == WHOLE))
+        # contexts and frequent symbols are bounded in number by their shares, so the rows are
+        enough = F.when(F.col("longer"), F.col("n") >= least).otherwise((F.col("n") >= (1 if bounds.every else max(2, least / 50))) | (F.col("symbol") == WHOLE))
         rows = _count(chunks, symbols, tree.first, known, size).where(enough).toPandas()
         pairs, longer = rows[~rows["longer"].astype(bool)], rows[rows["longer"].astype(bool)]
         context = pairs["context"].to_numpy().view(np.uint64)
@@ -402,43 +420,42 @@ def train(chunks: DataFrame, vocab: DataFrame, total: int, bounds: Bounds = Boun
     return tree, kinds
 
 
-def grow(p: np.ndarray, levels: list[np.ndarray], nexts: np.ndarray, train: np.ndarray, least: int) -> np.ndarray:
+def grow(p: np.ndarray, word: np.ndarray, before: list[np.ndarray], nexts: np.ndarray, train: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
     """Probabilities with branches taken in, given those of the crown.
 
-    ``levels`` number each token's contexts from short to long, -1 for none. A context becomes a state if it is seen
-    ``least`` times in training and its training tokens gain more than its symbols cost; it is smoothed towards ``p``.
+    A token's contexts are its last ``word``, with one symbol ``before`` it, with two; the first ``held`` of them are left
+    out, for the crown holds them. A context becomes a state if it is seen ``least`` times in training and its training
+    tokens gain more than its symbols cost; it is smoothed towards ``p``.
     """
-    p = p.copy()
-    for level in levels:
-        at = np.flatnonzero(level >= 0)
-        if not len(at):
-            continue
-        groups, g = np.unique(level[at], return_inverse=True)
-        pairs, pair = np.unique(g * (int(nexts.max()) + 1) + nexts[at], return_inverse=True)
-        learn = train[at].astype(float)
-        mass, n = np.bincount(g, learn, len(groups)), np.bincount(pair, learn, len(pairs))
-        owner = pairs // (int(nexts.max()) + 1)
+    p, span_of = p.copy(), int(nexts.max(initial=0)) + 1
+    at, number = np.arange(len(p)), word
+    for level in range(len(before) + 1):
+        if level:
+            some = before[level - 1][at] >= 0
+            at = at[some]
+            number = number[some] * (1 << 17) + before[level - 1][at]
+        groups, g = np.unique(number, return_inverse=True)
+        mass = np.bincount(g, train[at], len(groups))
+        ours = held[at] <= level
+        # a context within one that is too rare is too rare itself
+        some = (mass[g] >= least) | ~ours
+        at, number, ours = at[some], g[some], ours[some]
+        own, g = at[ours], number[ours]
+        pairs, pair = np.unique(g * span_of + nexts[own], return_inverse=True)
+        learn = train[own]
+        n, owner = np.bincount(pair, learn, len(pairs)), pairs // span_of
         share = np.maximum(n - DISCOUNT, 0) / np.maximum(mass[owner], 1)
         kept_for = 1 - np.bincount(owner, share, len(groups))
-        seen = learn > 0
-        gain = np.bincount(g[seen], np.log(n[pair[seen]] / mass[g[seen]] / p[at[seen]]), len(groups))
-        kinds = np.bincount(owner, n > 0, len(groups))
-        state = (mass >= least) & (gain > 0.5 * kinds * np.log(np.maximum(mass, 1)))
+        seen = np.flatnonzero(learn)
+        gain = np.bincount(g[seen], np.log(n[pair[seen]] / mass[g[seen]] / p[own[seen]]), len(groups))
+        state = gain > 0.5 * np.bincount(owner, n > 0, len(groups)) * np.log(np.maximum(mass, 1))
         live = state[g]
-        p[at[live]] = share[pair[live]] + kept_for[g[live]] * p[at[live]]
+        g, pair, own = g[live], pair[live], own[live]
+        p[own] = share[pair] + kept_for[g] * p[own]
     return p
 
 
-def branch_levels(word: np.ndarray, second: np.ndarray, third: np.ndarray, heavy: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the contexts that end in each token's last word: the word (unless it is heavy), with one symbol before
-    it, with two."""
-    none = np.full(len(word), -1, np.int64)
-    two = np.where(second >= 0, word * (1 << 17) + second, none)
-    three = np.where((third >= 0) & (second >= 0), np.unique(two, return_inverse=True)[1] * (1 << 17) + third, none)
-    return [np.where(heavy, none, word), two, three]
-
-
-def text_scores(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+def text_scores(docs: DataFrame, bounds: Bounds = EVERY) -> DataFrame:
     """Scores of each document, learning from those whose ``crc32(doc_id) mod 10`` isn't 0.
 
     ``score`` is the tree's log10 probability of the text, ``base_score`` that of smoothed word counts.
@@ -459,9 +476,25 @@ def text_scores(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     grown = ""
     opened = chunks.select("chunk", "tokens", "words", "ids", "sizes")
 
-    def branched(model: SuffixTree, contexts: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Words that have a branch of their own."""
-        return (contexts >= model.symbols.base) & (c >= bounds.least)
+    def families(model: SuffixTree, hashes: np.ndarray, contexts: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether contexts that end in a word have branches, whether those are the word's own (and not shared by the
+        words of its symbol that have none), and the hash of whom they belong to."""
+        own = (contexts >= model.symbols.base) & (c >= bounds.least)
+        return own | (bounds.every and total > 0), own, np.where(own, hashes, _hash(np.ones(len(contexts), np.uint64), contexts))
+
+    def spans(model: SuffixTree, tokens: np.ndarray, sizes: np.ndarray, words: tuple, contexts: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+        """Runs of texts: ``(texts, tokens, columns, key)``. ``key`` deals the tokens that are scored by branches and is 0
+        for the others."""
+        branch, own, family = words
+        heavy = own & (c > bounds.unit_tokens) & (not bounds.every)
+        for docs, span in _texts(tokens, sizes):
+            part, place = tokens[span], _places(sizes[docs])
+            columns = _columns(contexts[part], place, DEPTH)
+            last = part[np.maximum(np.arange(len(part)) - 1, 0)]
+            key = np.where(heavy[last], _hash(family[last], columns[1]), family[last])
+            if bounds.every:
+                key = np.where(own[last], key, model.beyond(columns))
+            yield docs, part, columns, np.where(branch[last] & (place > 0), key, 0)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -469,15 +502,13 @@ def text_scores(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
         model = tree.value
         for chunk, tokens, hashes, contexts, nexts, ids, sizes in _opened(batches, model.symbols):
             c = read_counts(folder, chunk, hashes, units)
-            branch = branched(model, contexts, c)
             base, own = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), np.log10(model.own_share(nexts, c))
             sums = []
-            for docs, span in _texts(tokens, sizes):
-                part, place = tokens[span], _places(sizes[docs])
-                found = np.log10(model.symbol_shares(_columns(contexts[part], place, DEPTH), nexts[part]))
-                found[1:][branch[part[:-1]] & (place[1:] > 0)] = 0  # those are scored by their branches
+            for docs, part, columns, key in spans(model, tokens, sizes, families(model, hashes, contexts, c), contexts, c):
+                found, at = own[part], np.flatnonzero(key == 0)
+                found[at] += np.log10(model.symbol_shares([x[at] for x in columns], nexts[part[at]])[0])
                 starts = np.cumsum(sizes[docs]) - sizes[docs]
-                sums.append([np.add.reduceat(x, starts) for x in ((c[part] > 0).astype(np.int64), base[part], found + own[part])])
+                sums.append([np.add.reduceat(x, starts) for x in ((c[part] > 0).astype(np.int64), base[part], found)])
             known, base, found = (np.concatenate(x) for x in zip(*sums, strict=True))
             for part in read_parts(grown, chunk) if total else []:
                 docs, more = unpack(part)
@@ -487,28 +518,36 @@ def text_scores(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def emit(batches: Iterator) -> Iterator:
-        """Tokens behind a branched word, dealt by the word: the words, and of each token the word, the two symbols
-        before that, the next symbol and its document (twice its number, and one for training)."""
+        """Tokens that are scored by branches, dealt by key: whose branches they are, and of each token its family, the
+        two symbols before its last word, the next symbol and its document (twice its number, and one for training)."""
         import pyarrow as pa
 
         model = tree.value
         for chunk, tokens, hashes, contexts, nexts, ids, sizes in _opened(batches, model.symbols):
             c = read_counts(folder, chunk, hashes, units)
-            branch, heavy = branched(model, contexts, c), c > bounds.unit_tokens
-            doc, place = np.repeat(np.arange(len(ids)), sizes), _places(sizes)
-            at = np.flatnonzero(np.r_[False, branch[tokens[:-1]]] & (place > 0))
-            if not len(at):
+            words = branch, own, family = families(model, hashes, contexts, c)
+            heavy = own & (c > bounds.unit_tokens) & (not bounds.every)
+            kinds_here, local = np.unique(family, return_inverse=True)
+            first, held = np.zeros(len(kinds_here), np.int64), np.zeros(len(kinds_here), np.int64)
+            first[local], held[local] = contexts, np.where(own, np.where(heavy, 1, 0), 2)
+            local, doc = local.astype(np.uint32), np.repeat(np.arange(len(ids)), sizes)
+            mark = 2 * doc + np.array([crc_mod(d, 10) != 0 for d in ids], dtype=bool)[doc]
+            taken, at, small = [], 0, np.min_scalar_type(model.symbols.size + 1)
+            for _, part, columns, key in spans(model, tokens, sizes, words, contexts, c):
+                rows = np.flatnonzero(key)
+                taken.append((_unit(key[rows], units), local[part[rows - 1]], *((x[rows] + 1).astype(small) for x in columns[1:]), nexts[part[rows]].astype(small), mark[at + rows].astype(np.uint32)))
+                at += len(part)
+            unit, *columns = (np.concatenate(x) for x in zip(*taken, strict=True))
+            if not len(unit):
                 continue
-            train = np.array([crc_mod(d, 10) != 0 for d in ids], dtype=bool)
-            last = tokens[at - 1]
-            behind = lambda n: np.where(place[at] >= n, contexts[tokens[np.maximum(at - n, 0)]], np.where(place[at] == n - 1, START, WHOLE)).astype(np.int32)
-            columns = (last, behind(2), behind(3), nexts[tokens[at]].astype(np.int32), (2 * doc[at] + train[doc[at]]).astype(np.uint32))
-            key = np.where(heavy[last], _hash(hashes[last], columns[1].astype(np.int64)), hashes[last])
-            for unit, rows in by_unit(_unit(key, units)):
-                rows = rows[np.argsort(last[rows], kind="stable")]
-                words, back = np.unique(last[rows], return_inverse=True)
-                part = pack(hashes[words], (2 * contexts[words] + heavy[words]).astype(np.int32), back.astype(np.uint32), *(x[rows] for x in columns[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([chunk]), pa.array([part])], ["unit", "chunk", "part"])
+            order = np.argsort(columns[0], kind="stable")
+            columns = [x[order] for x in columns]
+            for u, rows in by_unit(unit[order]):
+                mine = columns[0][rows]
+                starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                some = mine[starts]
+                part = pack(kinds_here[some], (4 * first[some] + held[some]).astype(np.int32), np.diff(np.r_[starts, len(mine)]).astype(np.uint32), *(x[rows] for x in columns[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([chunk]), pa.array([part])], ["unit", "chunk", "part"])
 
     def finish(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -516,17 +555,26 @@ def text_scores(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
         model = tree.value
         for _, rows in grouped(batches, 3):
             parts = [unpack(part) for _, part in rows]
-            _, number = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            shift = np.cumsum([0, *(len(x[0]) for x in parts)])
-            word = number[np.concatenate([x[2].astype(np.int64) + s for x, s in zip(parts, shift, strict=False)])]
-            first = np.concatenate([x[1].astype(np.int64)[x[2]] for x in parts])
-            first, heavy = first // 2, first % 2 == 1
-            second, third, nexts, mark = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in range(3, 7))
-            p = model.symbol_shares([first, second, third], nexts)
-            found = np.log10(grow(p, branch_levels(word, second, third, heavy), nexts, mark % 2 == 1, bounds.least))
+            names, family = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            kind = np.zeros(len(names), np.int64)
+            kind[family] = np.concatenate([x[1] for x in parts])
+            family = np.repeat(family.astype(np.uint32), np.concatenate([x[2] for x in parts]))
+            second, third, nexts, mark = (np.concatenate([x[k] for x in parts]) for k in range(3, 7))
+            chunks_of = [(chunk, len(x[3])) for (chunk, _), x in zip(rows, parts, strict=True)]
+            del parts, rows
+            order, found = np.argsort(family, kind="stable"), np.empty(len(family))
+            ends = np.cumsum(np.bincount(family, minlength=len(names)))
+            # runs of whole families
+            for run, span in _texts(np.empty(0), np.diff(np.r_[0, ends]), STEP):
+                at = order[span]
+                word, symbols = family[at].astype(np.int64) - run.start, [x[at].astype(np.int64) for x in (second, third, nexts)]
+                before, follow = [symbols[0] - 1, symbols[1] - 1], symbols[2]
+                first = kind[run][word]
+                p, depth = model.symbol_shares([first // 4, *before], follow)
+                held = np.where(first % 4 == 2, depth, first % 4)
+                found[at] = np.log10(grow(p, word, before, follow, mark[at] % 2 == 1, held, bounds.least))
             at = 0
-            for (chunk, _), x in zip(rows, parts, strict=True):
-                n = len(x[2])
+            for chunk, n in chunks_of:
                 docs, back = np.unique(mark[at : at + n] // 2, return_inverse=True)
                 sums = np.bincount(back, found[at : at + n], len(docs))
                 at += n

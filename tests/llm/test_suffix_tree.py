@@ -140,6 +140,86 @@ class Model:
         return out
 
 
+class Whole(Model):
+    """The definition without shares: what the crown doesn't hold is in branches, by count."""
+
+    def __init__(self, texts, bounds):
+        super().__init__(texts, bounds)
+        spots = [(ts, i, self.before(ts, i), self.symbol(ts[i])) for ts in texts for i in range(len(ts))]
+        for size in range(1, DEPTH + 1):
+            pairs = defaultdict(Counter)
+            for _, _, b, s in spots:
+                if len(b) >= size and all(b[:j] in self.known[j] for j in range(1, min(size + 1, len(self.known)))) and size < len(self.known):
+                    pairs[b[:size]][s] += 1
+            self.states[size] = {}
+            new = {}
+            for k, some in pairs.items():
+                m = sum(some.values())
+                lower = {s: max(self.crown(k[:-1], s), 1e-12) for s in some}
+                gain = sum(v * math.log(v / m / lower[s]) for s, v in some.items())
+                if gain > 0.5 * len(some) * math.log(m):
+                    share = {s: max(v - DISCOUNT, 0) / m for s, v in some.items()}
+                    new[k] = (share, 1 - sum(share.values()))
+            self.states[size] = new
+        self.branches = [{}, {}, {}]
+        for level in range(3):
+            groups = defaultdict(list)
+            for ts, i, b, s in spots:
+                if (k := self.branch(ts, i, level)) is not None:
+                    groups[k].append((s, self.share(ts, i, level)))
+            for k, some in groups.items():
+                n_of, m = Counter(s for s, _ in some), len(some)
+                gain = sum(math.log(n_of[s] / m / p) for s, p in some)
+                if m >= bounds.least and gain > 0.5 * len(n_of) * math.log(m):
+                    share = {s: max(v - DISCOUNT, 0) / m for s, v in n_of.items()}
+                    self.branches[level][k] = (share, 1 - sum(share.values()))
+
+    def branch(self, ts, i, level):
+        """The context with ``level`` symbols before the last word, if a branch may hold it."""
+        b = self.before(ts, i)[: level + 1]
+        if not i or len(b) <= level:
+            return None
+        if self.branched(ts[i - 1]):
+            return (ts[i - 1], *b[1:])
+        return None if level + 1 < len(self.known) and all(b[: j + 1] in self.known[j + 1] for j in range(level + 1)) else ("symbol", *b)
+
+    def share(self, ts, i, levels=3):
+        b, s = self.before(ts, i), self.symbol(ts[i])
+        p = self.crown(b[:DEPTH], s)
+        for level in range(levels):
+            k = self.branch(ts, i, level)
+            if k in self.branches[level]:
+                share, rest = self.branches[level][k]
+                p = share.get(s, 0) + rest * p
+        return p
+
+
+@pytest.mark.parametrize("bounds", [SMALL, dataclasses.replace(SMALL, share=0.02, unit_tokens=300)])
+def test_every_context_by_definition(spark, bounds):
+    """Contexts that the crown leaves out for their share are in branches, whatever word they end in."""
+    bounds = dataclasses.replace(bounds, every=True)
+    rows = corpus() + [(2000 + i, f"w1 once{i}zz w7 once{i + 100}zz w7 w{i % 9} twice{i // 2}qq w3") for i in range(60)]
+    rows += [(3000 + i, f"w2 one{i}vv w5 w{i % 7} w2 one{i}ww w5") for i in range(14)]
+    train = [tokens_of(t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    model = Whole(train, bounds)
+    shared = Counter(k[1] in model.frequent for level in model.branches for k in level if k[0] == "symbol")
+    assert min(shared[True], shared[False]) > 0, shared
+    found = {r["doc_id"]: r for r in suffix_tree.text_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bounds).collect()}
+    assert len(found) == len(rows)
+    for d, text in rows:
+        assert found[d]["score"] == pytest.approx(model.score(tokens_of(text)), abs=1e-6), (d, text)
+
+
+def test_rare_context_of_frequent_words(spark):
+    """What follows two frequent words is learned from twenty uses, though they are few among all tokens."""
+    rng = random.Random(8)
+    some = [f"v{i}" for i in range(40)]
+    rows = [(d, " ".join(rng.choice(some) for _ in range(120)) + (" v1 v2 v3 v4" if d % 10 == 0 else "")) for d in range(250)]
+    rows += [(1000, "v1 v2 v3 v4"), (1001, "v1 v2 v3 v5")]
+    by_id = {r["doc_id"]: r["score"] for r in suffix_tree.text_scores(spark.createDataFrame(rows, "doc_id long, text string"), dataclasses.replace(suffix_tree.EVERY, share=0.01)).collect()}
+    assert by_id[1000] > by_id[1001] + 0.3
+
+
 @pytest.mark.parametrize("bounds", [SMALL, dataclasses.replace(SMALL, unit_tokens=25)])
 def test_scores_by_definition(spark, bounds):
     """The second bounds make the commoner branched words too heavy for one task."""
