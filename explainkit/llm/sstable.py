@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from explainkit.llm.common import LINE, Words, id_and_text, small_batches
+from explainkit.llm.common import LINE, Words, id_and_text, marked, small_batches
 from explainkit.operators.dictionary import running_totals
 from explainkit.plans.storage import fresh_path, persist_table, qualified
 
@@ -38,8 +38,8 @@ _INDEX = struct.Struct("<QQQQ")
 BLOCK, RESTART, BITS, PROBES = 256 * 1024, 16, 10, 7
 #: Text bytes that a shard is meant to hold: the least, the most, and the shards from which on they grow.
 SHARD_BYTES, LARGEST, SHARDS = 24 * 1024 * 1024, 512 * 1024 * 1024, 4096
-#: Words encoded in one text.
-TOGETHER = 4096
+#: Words encoded in one text; marks that stand behind words, and how many of them are known together.
+TOGETHER, MARKS, MOST_MARKS = 4096, ".,;:!?#*$%&|<>", 4
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -241,7 +241,7 @@ class _Encoder:
         self.leads = np.zeros(1 << (8 * self.width if self.width == 2 else 24), dtype=bool)
         self.leads[[i for t, i in self.model.get_vocab(False).items() if t.startswith("Ġ")]] = True
         self.marks = {s: self._bytes([self.model.token_to_id(s)]) for s in self.special}
-        self.points = {c: self._bytes(self.model.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self.points: dict[str, bytes] = {}
         self.breaks = self.model.encode("\n", add_special_tokens=False).ids
         self.words = Words(self._learn)
 
@@ -272,43 +272,68 @@ class _Encoder:
         return out
 
     def _learn(self, keys: list[str], parts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of keys and parts of :class:`Words`. A mark behind a letter is a token by itself, so a word with a
-        mark needs the ids of its stem only."""
+        """Ids of keys and parts of :class:`Words`. Marks behind a letter are cut from it, so a word with marks
+        needs the ids of its stem only, and words of one stem need them once."""
         known, points = self.words.get, self.points
         out: list = [b""] * len(keys)
-        asked: tuple = ([], [], []), ([], [], [])
+        asked: tuple[dict, dict] = {}, {}
+        plain, ended = [], []
         for i, key in enumerate(keys):
-            mark = points.get(key[-1], b"")
-            if mark:
-                if key[-2:-1].isalpha() and key[-2] < "\u0250":
-                    stem = key[:-1]
+            if key[-1] in MARKS:
+                stem = key.rstrip(MARKS)
+                if len(key) - len(stem) <= MOST_MARKS and stem[-1:].isalpha() and stem[-1] < "\u0250":
+                    marks = key[len(stem) :]
+                    mark = points.get(marks)
+                    if mark is None:
+                        mark = points[marks] = self._bytes(self.model.encode(marks, add_special_tokens=False).ids)
                     have = known(stem)
                     if have is not None:
                         out[i] = have + mark
                         continue
-                    key = stem
-                else:
-                    mark = b""
-            at, words, marks = asked[key[0] != LINE and key != "\n"]
-            at.append(i)
-            words.append(key)
-            marks.append(mark)
-        for spaced, (at, words, marks) in enumerate(asked):
-            found = self._together(words, True) if spaced else self._together([w.removeprefix(LINE) for w in words], False)
-            for i, ids, mark in zip(at, found, marks, strict=True):
-                out[i] = ids + mark
+                    asked[stem[0] != LINE][stem] = None
+                    ended.append((i, stem, mark))
+                    continue
+            asked[key[0] != LINE and key != "\n"][key] = None
+            plain.append(i)
+        found: dict[str, bytes] = {}
+        for spaced, some in enumerate(asked):
+            words = [*some]
+            found.update(zip(words, self._together(words if spaced else [w.removeprefix(LINE) for w in words], bool(spaced)), strict=True))
+        for i in plain:
+            out[i] = found[keys[i]]
+        for i, stem, mark in ended:
+            out[i] = found[stem] + mark
         return out, self._several(parts)
 
+    def _gathered(self, texts: list[str]) -> list[memoryview | None]:
+        """Ids of texts: their words are told apart and their ids gathered as arrays. None for a text with a run of white
+        space."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.split_pattern(pa.array([marked(t) for t in texts], pa.large_string()), " ")
+        bounds, told = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        found = pa.array(self.words.of(told.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(told.indices)
+        _, offsets, ids = found.buffers()
+        cuts, ids = np.frombuffer(offsets, np.int64, len(found) + 1)[bounds].tolist(), memoryview(ids)
+        odd = np.add.reduceat(found.is_null().to_numpy(zero_copy_only=False), bounds[:-1]).tolist() if found.null_count else [0] * len(texts)
+        return [None if o else ids[i:j] for o, i, j in zip(odd, cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as bytes."""
+        plain = [i for i, t in enumerate(texts) if t and LINE not in t and not any(s in t for s in self.special)]
+        whole: list[memoryview | None] = [None] * len(texts)
+        for i, ids in zip(plain, self._gathered([texts[i] for i in plain]) if plain else [], strict=True):
+            whole[i] = ids
         runs, owner = [], []
         for i, text in enumerate(texts):
-            text = text or ""
-            some = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            runs += some
-            owner += [(i, j % 2) for j in range(len(some))]
+            if whole[i] is None:
+                text = text or ""
+                some = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
+                runs += some
+                owner += [(i, j % 2) for j in range(len(some))]
         values = iter(self.words.values([r for r, (_, special) in zip(runs, owner, strict=True) if not special]))
-        out: list[list[bytes]] = [[] for _ in texts]
+        out: list[list] = [[ids] if ids is not None else [] for ids in whole]
         for run, (i, special) in zip(runs, owner, strict=True):
             out[i] += [self.marks[run]] if special else next(values)
         return [b"".join([*parts, self.end]) for parts in out]

@@ -154,6 +154,24 @@ def test_kept_words_match_library(monkeypatch):
     assert sum(map(len, coder.words)) < 10**5
 
 
+def test_stems_are_encoded_once(monkeypatch):
+    """Words of one stem ask the library once, and a batch's texts ask for a word's ids once; marks are as the library has them."""
+    from tokenizers import Tokenizer
+
+    library, coder, rng = Tokenizer.from_file(BYTES), sstable._Encoder(BYTES, 0), random.Random(5)
+    asked, looked, together, of = [], [], coder._together, coder.words.of
+    monkeypatch.setattr(coder, "_together", lambda words, spaced: asked.extend(words) or together(words, spaced))
+    monkeypatch.setattr(coder.words, "of", lambda keys: looked.extend(keys) or of(keys))
+    coder.encode(["a zworp, zworp. zworp### zworp\nzworp; zworp", "a zworp!? zworp.", None, ""])
+    assert sorted(asked) == ["\n", "a", "zworp", "zworp"] and len(looked) == len(set(looked))
+    parts = ["the", "é", "Zürich", "naïve", "x1", "ª", "ʰ", "日", "<|endoftext|>", "a'", "\x01", ""]
+    marks = ["", ".", "###", ",%%%", "!!!!", "?????", "<|", "|>", "$'", "...é", "&&&s"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(parts) + rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    for at in range(0, len(texts), 150):
+        some = texts[at : at + 150]
+        assert coder.encode(some) == [b"".join(i.to_bytes(2, "little") for i in [*library.encode(t, add_special_tokens=False).ids, 0]) for t in some]
+
+
 def test_merging_of_runs():
     from tokenizers import Tokenizer
 
