@@ -84,3 +84,10 @@ def test_search_ranks_truths_only(spark, monkeypatch):
     monkeypatch.setattr(graph_model, "top_of_blocks", lambda *a, **b: made.append("list"))
     monkeypatch.setattr(graph_model.JointGraph, "_gradient", (lambda f: lambda self, *a: (made.append("gradient"), f(self, *a))[1])(graph_model.JointGraph._gradient))
     assert catalog.queries()["joint_search"](spark, "/root/testdata/sf0.001").count() == 2 and made == ["gradient"]
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(0)
+    size = np.r_[rng.integers(1, 9, 50), 200, 1, 64, 63]
+    starts, x = np.cumsum(size) - size, rng.normal(size=(size.sum(), 3))
+    assert np.allclose(packs.segment_sums(x, starts), np.add.reduceat(x, starts, axis=0)) and packs.segment_sums(x[:0], starts[:0]).shape == (0, 3)
