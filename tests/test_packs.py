@@ -91,3 +91,12 @@ def test_segment_sums():
     size = np.r_[rng.integers(1, 9, 50), 200, 1, 64, 63]
     starts, x = np.cumsum(size) - size, rng.normal(size=(size.sum(), 3))
     assert np.allclose(packs.segment_sums(x, starts), np.add.reduceat(x, starts, axis=0)) and packs.segment_sums(x[:0], starts[:0]).shape == (0, 3)
+
+
+def test_search_trains_the_whole_model(spark, monkeypatch):
+    """The search's vectors and layers are the trainer's own, not smaller ones."""
+    made = []
+    monkeypatch.setattr(graph_model.JointGraph, "_number", (lambda f: lambda self, raw: (made.append((self.dim, self.item_layers, self.tag_layers)), f(self, raw))[1])(graph_model.JointGraph._number))
+    catalog.queries()["joint_search"](spark, "/root/testdata/sf0.001").count()
+    whole = graph_model.JointGraph
+    assert made == [(whole.dim, whole.item_layers, whole.tag_layers)] == [(16, 2, 2)]
